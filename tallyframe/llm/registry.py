@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, quality, simhash, toxicity, url_filter
 
-QUERIES = {"op2_exact_dedup": exact_dedup.query}
+QUERIES = {
+    "op1_simhash_near_dedup": simhash.query,
+    "op2_exact_dedup": exact_dedup.query,
+    "op3_url_filter": url_filter.query,
+    "op7_toxicity": toxicity.query,
+    "op8_quality": quality.query,
+}
 SQL = {"op2_exact_dedup": exact_dedup.SQL}
