@@ -16,6 +16,7 @@ from __future__ import annotations
 import operator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,10 @@ def features(text: str | None) -> list[float]:
 
 
 def _features(text: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(features), "array<double>", F.PandasUDFType.SCALAR)(text)
+    def shapes(texts: pd.Series) -> pd.Series:
+        return texts.map(features)
+
+    return F.pandas_udf(shapes, "array<double>")(text)
 
 
 def fit(shapes: np.ndarray, good: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:

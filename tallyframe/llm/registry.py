@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality, simhash, toxicity, url_filter
+from . import bpe, exact_dedup, quality, rans, secrets, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_url_filter": url_filter.query,
+    "op4_secret_scan": secrets.query,
+    "op6_token_files": rans.query,
     "op7_toxicity": toxicity.query,
     "op8_quality": quality.query,
+    "op9_bpe": bpe.query,
 }
 SQL = {"op2_exact_dedup": exact_dedup.SQL}
