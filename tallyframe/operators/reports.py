@@ -1,0 +1,108 @@
+"""Operators of reports: decisions, weekly quality, dashboards, monitoring, usability."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """DISTINCT ON: the newest row of each key under a total order."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def group_status(decisions: DataFrame, by: list[str], status: str = "decision") -> DataFrame:
+    """Any confirmed > any in clarification > all rejected > pending."""
+    is_ = lambda x: F.col(status) == x
+    out = F.when(F.bool_or(is_("CONFIRMED_VIOLATION")), "CONFIRMED").when(F.bool_or(is_("CLARIFICATION_REQUIRED")), "CLARIFICATION").when(F.bool_and(is_("NEGATIVE_VERIFIED")), "REJECTED").otherwise("PENDING")
+    return decisions.groupBy(*by).agg(out.alias("status"), F.count("*").alias("n"))
+
+
+def precision_report(decisions: DataFrame, by: list[str], confirmed: Column, rejected: Column) -> DataFrame:
+    """confirmed, rejected, total and precision (3 digits, null without decisions) of each group."""
+    out = decisions.groupBy(*by).agg(F.count_if(confirmed).alias("confirmed"), F.count_if(rejected).alias("rejected"), F.count("*").alias("total"))
+    return out.withColumn("precision", F.round(F.try_divide(F.col("confirmed"), F.col("confirmed") + F.col("rejected")), 3))
+
+
+def weekly_trend(decisions: DataFrame, ts: str, first: str, weeks: int, confirmed: Column, rejected: Column) -> DataFrame:
+    """Dense weeks from Monday `first`: empty weeks have zero counts and null precision."""
+    spark = decisions.sparkSession
+    calendar = spark.range(weeks).select(F.date_add(F.to_date(F.lit(first)), (F.col("id") * 7).cast("int")).alias("week"))
+    counts = decisions.groupBy(F.to_date(F.date_trunc("week", ts)).alias("week")).agg(F.count_if(confirmed).alias("confirmed"), F.count_if(rejected).alias("rejected"))
+    out = calendar.join(counts, "week", "left").select("week", F.coalesce("confirmed", F.lit(0)).alias("confirmed"), F.coalesce("rejected", F.lit(0)).alias("rejected"))
+    return out.withColumn("precision", F.round(F.try_divide(F.col("confirmed"), F.col("confirmed") + F.col("rejected")), 3))
+
+
+def shares(rows: DataFrame, by: str) -> DataFrame:
+    """Count and share (3 digits) of each value, most frequent first in `place`."""
+    counts = rows.groupBy(by).agg(F.count("*").alias("n"))
+    out = counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 3))
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), by)))
+
+
+def recommendations(report: DataFrame, key: str, least: int = 3, reject_share: float = 0.6) -> DataFrame:
+    """Statements on groups with at least `least` decisions of which reject_share or more were rejected, or none was."""
+    share = F.try_divide(F.col("rejected"), F.col("confirmed") + F.col("rejected"))
+    few = report.where(F.col("confirmed") + F.col("rejected") >= least)
+    high = few.where(share >= reject_share).select(key, F.lit("REVIEW_RULE").alias("advice"))
+    none = few.where("rejected = 0").select(key, F.lit("KEEP_RULE").alias("advice"))
+    return high.unionByName(none)
+
+
+def indicator(confirmed: Column, pending: Column, rejected: Column) -> Column:
+    return F.when(confirmed > 0, "RED").when(pending > 0, "YELLOW").when(rejected > 0, "GREEN").otherwise("NONE")
+
+
+def tiles(rows: DataFrame, colour: str, colours: tuple[str, ...] = ("RED", "YELLOW", "GREEN", "NONE")) -> DataFrame:
+    """One row: number of objects of each colour, and of all."""
+    return rows.agg(F.count("*").alias("objects"), *[F.count_if(F.col(colour) == c).alias(c.lower()) for c in colours])
+
+
+def latency_windows(requests: DataFrame, ts: str, value: str, is_error: Column, width: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """Sliding windows: count, errors, nearest-rank p50 and p95."""
+    return requests.groupBy(F.window(ts, width, slide).alias("w")).agg(F.count("*").alias("n"), F.count_if(is_error).alias("errors"), F.expr(f"percentile_disc(0.5) within group (order by {value})").alias("p50"), F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95")).select(F.col("w.start").alias("start"), "n", "errors", "p50", "p95")
+
+
+def histogram(rows: DataFrame, value: str, bounds: list[float]) -> DataFrame:
+    """Cumulative counts at fixed upper bounds, as (le, n); one pass, one row exploded."""
+    counts = rows.agg(*[F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(bounds)])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)])).alias("x")).select("x.*")
+
+
+def usability(sessions: DataFrame, by: list[str], value: str, target: float) -> DataFrame:
+    """Mean, linear median and p90, greatest, and share at or below the target."""
+    return sessions.groupBy(*by).agg(F.round(F.avg(value), 4).alias("mean"), F.round(F.percentile(value, F.lit(0.5)), 4).alias("median"), F.round(F.percentile(value, F.lit(0.9)), 4).alias("p90"), F.max(value).alias("most"), F.round(F.avg((F.col(value) <= target).cast("double")), 4).alias("within"))
+
+
+def alerts(overview: DataFrame, rules: list[tuple[str, Column]], key: str) -> DataFrame:
+    """(key, alert) for each rule that holds."""
+    return overview.select(key, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))).alias("alert"))
+
+
+def merge(target: DataFrame, source: DataFrame, key: str, sha: str) -> DataFrame:
+    """Actions of a MERGE by content hash: INSERT, UPDATE (version + 1), UNCHANGED, SUPERSEDE for rows the source lacks."""
+    t = target.select(key, F.col(sha).alias("_old"), F.col("row_version").alias("_version"), F.lit(True).alias("_t"))
+    s = source.select(key, F.col(sha).alias("_new"), F.lit(True).alias("_s"))
+    both = t.join(s, key, "full_outer")
+    action = F.when(F.col("_t").isNull(), "INSERT").when(F.col("_s").isNull(), "SUPERSEDE").when(F.col("_old").eqNullSafe(F.col("_new")), "UNCHANGED").otherwise("UPDATE")
+    out = both.withColumn("action", action)
+    version = F.when(F.col("action") == "INSERT", 1).when(F.col("action") == "UPDATE", F.col("_version") + 1).otherwise(F.col("_version"))
+    return out.select(key, "action", version.alias("row_version"), F.coalesce("_new", "_old").alias(sha), (F.col("action") == "UPDATE").alias("review_required"))
+
+
+def retained(rows: DataFrame, ts: str, kind: str, now: str, days: dict[str, int], default: int) -> DataFrame:
+    """Rows within their class's retention."""
+    span = F.lit(default)
+    for k, d in days.items():
+        span = F.when(F.col(kind) == k, d).otherwise(span)
+    return rows.where(F.col(ts) >= F.date_add(F.lit(now).cast("date"), -span).cast("timestamp_ntz"))
+
+
+def adjusted_percents(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """Percents to 0.1 that sum to 100.0: the residue goes 0.1 at a time to the greatest remainder, ties to the lower key."""
+    total = F.sum(n).over(Window.partitionBy())
+    exact = F.col(n) * 1000 / total
+    out = counts.withColumns({"_floor": F.floor(exact).cast("bigint"), "_rest": exact - F.floor(exact)})
+    left = 1000 - F.sum("_floor").over(Window.partitionBy())
+    place = F.row_number().over(Window.orderBy(F.desc("_rest"), key))
+    return out.withColumn("percent", (F.col("_floor") + F.when(place <= left, 1).otherwise(0)) / 10).drop("_floor", "_rest")

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import comparison, registry_queries
+
+_MODULES = (comparison, registry_queries)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+SQL = {k: q for m in _MODULES for k, q in m.SQL.items()}
