@@ -132,7 +132,7 @@ def member_path_problems(c: Column) -> Column:
 
 
 def sheet_number(c: Column) -> Column:
-    return F.regexp_extract(c, r"(?i)(?:лист|sheet|л\.)\s*№?\s*([0-9]+)", 1).try_cast("int")
+    return F.regexp_extract(c, r"(?iu)(?:лист|sheet|л\.)\s*№?\s*([0-9]+)", 1).try_cast("int")
 
 
 def text_windows(c: Column, size: int = 20_000, overlap: int = 512) -> Column:

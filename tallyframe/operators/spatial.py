@@ -16,8 +16,8 @@ def _cells(box: Column, size: float) -> Column:
 
 def overlapping(a: DataFrame, b: DataFrame, page: str, key_a: str, key_b: str, box_a: str, box_b: str, cell: float = 0.05) -> DataFrame:
     """(page, key_a, key_b, intersection, iou, of_smaller): pairs of boxes of a page that overlap. Boxes meet in grid cells; each pair once."""
-    left = a.select(page, key_a, box_a, F.explode(_cells(F.col(box_a), cell)).alias("c")).select(page, key_a, box_a, "c.*")
-    right = b.select(page, key_b, box_b, F.explode(_cells(F.col(box_b), cell)).alias("c")).select(page, key_b, box_b, "c.*")
+    left = a.select(page, key_a, box_a, F.explode(_cells(F.col(box_a), cell)).alias("_cell")).select(page, key_a, box_a, "_cell.*")
+    right = b.select(page, key_b, box_b, F.explode(_cells(F.col(box_b), cell)).alias("_cell")).select(page, key_b, box_b, "_cell.*")
     inter = box_intersection(F.col(box_a), F.col(box_b))
     first = (F.col("cx") == F.greatest(F.floor(F.col(box_a)[0] / cell), F.floor(F.col(box_b)[0] / cell))) & (F.col("cy") == F.greatest(F.floor(F.col(box_a)[1] / cell), F.floor(F.col(box_b)[1] / cell)))
     met = left.join(right, [page, "cx", "cy"]).where(first & (inter > 0))
@@ -46,6 +46,6 @@ def nearest(points: DataFrame, labels: DataFrame, page: str, key: str, label: st
 def inside(tokens: DataFrame, zones: DataFrame, page: str, token: str, zone: str, cell: float = 0.1) -> DataFrame:
     """(page, token, zone): zones that hold a token's centre."""
     at = tokens.select(page, token, "x", "y", F.floor(F.col("x") / cell).cast("int").alias("cx"), F.floor(F.col("y") / cell).cast("int").alias("cy"))
-    of = zones.select(page, zone, "box", F.explode(_cells(F.col("box"), cell)).alias("c")).select(page, zone, "box", "c.*")
+    of = zones.select(page, zone, "box", F.explode(_cells(F.col("box"), cell)).alias("_cell")).select(page, zone, "box", "_cell.*")
     b = F.col("box")
     return at.join(of, [page, "cx", "cy"]).where(F.col("x").between(b[0], b[2]) & F.col("y").between(b[1], b[3])).select(page, token, zone)
