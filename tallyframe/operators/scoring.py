@@ -100,7 +100,7 @@ def stratified_sample(rows: DataFrame, key: str, id_col: str, sample: int, seed:
 def leave_one_out(scores: DataFrame, candidate: str, fold: str, score: str) -> DataFrame:
     """For each fold, the candidate of best mean over the other folds (ties: lower candidate) and its score on the fold."""
     own = Window.partitionBy(candidate)
-    mean = (F.sum(score).over(own) - F.col(score)) / (F.count("*").over(own) - 1)
+    mean = F.try_divide(F.sum(score).over(own) - F.col(score), F.count("*").over(own) - 1)  # null for a candidate of one fold
     ranked = scores.withColumn("mean_others", F.round(mean, 9))
     n = F.row_number().over(Window.partitionBy(fold).orderBy(F.desc("mean_others"), candidate))
     return ranked.withColumn("_n", n).where("_n = 1").drop("_n")
