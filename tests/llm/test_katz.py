@@ -64,6 +64,16 @@ def test_scores_equal_the_definition(spark, heavy):
         assert a[6] == pytest.approx(b[6], rel=1e-9, abs=1e-9)
 
 
+def test_equal_batches(spark):
+    """Partitions of the same texts make equal batches; each counts, none is scored twice."""
+    rows = [(k, "a b a c") for k in range(8)] + [(20 + k, "a b d") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartitionByRange(16, "doc_id")
+    got = sorted(tuple(x) for x in katz.scored(docs, heavy=0.9, bucket_tokens=10).collect())
+    want = sorted(brute(rows))
+    assert [x[:5] for x in got] == [x[:5] for x in want]
+    assert [x[5:] for x in got] == [pytest.approx(x[5:], rel=1e-9) for x in want]
+
+
 def test_empty_table_and_clashing_columns(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string, bucket int, kind string")
     assert katz.scored(none).collect() == []
