@@ -37,11 +37,11 @@ CATALOG = "catalog AS (SELECT DISTINCT p_brand AS param_code, CAST(regexp_extrac
 
 
 def precedence_rows(spark, d):
-    facts = W.values(spark, d).where("location < 2").groupBy("param_code").agg(F.collect_set("stage").alias("stages"), F.count_if(F.col("quality") == "OK").alias("readable"))
-    bad = W.diffs(spark, d).where("result = 'VIOLATION' and location < 2").groupBy("param_code").agg(F.count("*").alias("violations"))
+    facts = W.values(spark, d).groupBy("param_code").agg(F.collect_set("stage").alias("stages"), F.count_if(F.col("quality") == "OK").alias("readable"))
+    bad = W.diffs(spark, d).where("result = 'VIOLATION'").groupBy("param_code").agg(F.count("*").alias("violations"))
     rows = catalog(spark, d).join(facts, "param_code", "left").join(bad, "param_code", "left")
     have, n = F.coalesce("stages", F.array().cast("array<string>")), F.coalesce("violations", F.lit(0))
-    status = G.precedence(F.col("number") % 11 != 0, G.sufficient(have, [["PD", "RD"], ["RD", "ID"]]), n > 1, ~F.array_contains(have, "ID"), F.coalesce("readable", F.lit(0)) == 0, n == 0)
+    status = G.precedence(F.col("number") % 11 != 0, G.sufficient(have, [["PD", "RD"], ["RD", "ID"]]), n > 6, ~F.array_contains(have, "ID"), F.coalesce("readable", F.lit(0)) == 0, n < 5)
     return rows.select("param_code", status.alias("status"), G.document_status(have).alias("documents"), n.alias("violations"))
 
 
@@ -74,7 +74,7 @@ def agreed_readings(spark, d):
 
 
 def value_conflicts(spark, d):
-    return V.value_conflicts(W.values(spark, d).where("quantity > 47"), ["param_code", "location", "stage"], "quantity")
+    return V.value_conflicts(W.values(spark, d), ["part", "location", "stage"], "quantity")
 
 
 def value_clusters(spark, d):
@@ -155,11 +155,11 @@ SQL = {
  r AS (SELECT *, row_number() OVER (PARTITION BY param_code, location, axis ORDER BY abs(actual - expected) > abs(expected) * 0.001, abs(actual - expected), expected, actual) AS rn FROM p)
  SELECT param_code, location, axis, CAST(n_expected AS INTEGER) AS n_expected, CAST(n_actual AS INTEGER) AS n_actual, expected, actual, CASE WHEN abs(actual - expected) <= abs(expected) * 0.001 THEN 'EQUAL' WHEN actual < expected THEN 'VIOLATION' ELSE 'IMPROVEMENT' END AS result FROM r WHERE rn = 1""",
     "dedupe_axis": f"""WITH {W.BEST} SELECT param_code, location, axis, confidence, CASE WHEN row_number() OVER (PARTITION BY param_code, location ORDER BY CASE axis WHEN 'PD_ID' THEN 0 WHEN 'RD_ID' THEN 1 ELSE 2 END, confidence DESC) = 1 THEN 'KEPT' ELSE 'CONTEXT' END AS role FROM diff WHERE result = 'VIOLATION'""",
-    "precedence_rows": f"""WITH {W.BEST}, {CATALOG}, facts AS (SELECT param_code, list(DISTINCT stage) AS stages, count(*) FILTER (quality = 'OK') AS readable FROM ev WHERE location < 2 GROUP BY 1),
- bad AS (SELECT param_code, count(*) AS violations FROM diff WHERE result = 'VIOLATION' AND location < 2 GROUP BY 1),
+    "precedence_rows": f"""WITH {W.BEST}, {CATALOG}, facts AS (SELECT param_code, list(DISTINCT stage) AS stages, count(*) FILTER (quality = 'OK') AS readable FROM ev GROUP BY 1),
+ bad AS (SELECT param_code, count(*) AS violations FROM diff WHERE result = 'VIOLATION' GROUP BY 1),
  r AS (SELECT param_code, number, coalesce(stages, []) AS s, coalesce(readable, 0) AS readable, coalesce(violations, 0) AS violations FROM catalog LEFT JOIN facts USING (param_code) LEFT JOIN bad USING (param_code)),
  m AS (SELECT *, concat_ws('_', CASE WHEN list_contains(s, 'PD') THEN 'PD' END, CASE WHEN list_contains(s, 'RD') THEN 'RD' END, CASE WHEN list_contains(s, 'ID') THEN 'ID' END) AS have, concat_ws('_', CASE WHEN NOT list_contains(s, 'PD') THEN 'PD' END, CASE WHEN NOT list_contains(s, 'RD') THEN 'RD' END, CASE WHEN NOT list_contains(s, 'ID') THEN 'ID' END) AS lack FROM r)
- SELECT param_code, CASE WHEN number % 11 = 0 THEN 'DEACTIVATED' WHEN violations > 1 THEN 'VIOLATED' WHEN NOT (list_has_all(s, ['PD', 'RD']) OR list_has_all(s, ['RD', 'ID'])) THEN 'INSUFFICIENT_DOCUMENTS' WHEN NOT list_contains(s, 'ID') THEN 'MISSING_DOCUMENT' WHEN readable = 0 THEN 'UNREADABLE' WHEN violations = 0 THEN 'VERIFIED' ELSE 'UNVERIFIED' END AS status,
+ SELECT param_code, CASE WHEN number % 11 = 0 THEN 'DEACTIVATED' WHEN violations > 6 THEN 'VIOLATED' WHEN NOT (list_has_all(s, ['PD', 'RD']) OR list_has_all(s, ['RD', 'ID'])) THEN 'INSUFFICIENT_DOCUMENTS' WHEN NOT list_contains(s, 'ID') THEN 'MISSING_DOCUMENT' WHEN readable = 0 THEN 'UNREADABLE' WHEN violations < 5 THEN 'VERIFIED' ELSE 'UNVERIFIED' END AS status,
  concat(CASE WHEN have <> '' THEN have || '_AVAILABLE' ELSE '' END, CASE WHEN lack <> '' AND have <> '' THEN '_' || lack || '_MISSING' WHEN lack <> '' THEN lack || '_MISSING' ELSE '' END) AS documents, violations FROM m""",
     "finding_groups": f"""WITH {W.BEST}, g AS (SELECT axis, param_code, result, list(DISTINCT location) AS members, round(min(confidence), 3) AS confidence FROM diff WHERE result <> 'EQUAL' GROUP BY ALL),
  n AS (SELECT *, row_number() OVER (ORDER BY axis, param_code, result) AS card FROM g) SELECT axis, param_code, result, unnest(members) AS location, confidence, card FROM n""",
@@ -170,10 +170,10 @@ SQL = {
  r AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(n) OVER w, 0) AS runner_up FROM c WINDOW w AS (PARTITION BY param_code, stage ORDER BY n DESC, quantity))
  SELECT param_code, stage, quantity, n, runner_up, n >= 3 AND n >= 2 * runner_up AS dominates FROM r WHERE rn = 1""",
     "agreed_readings": f"WITH {W.VALUES} SELECT param_code, location, quantity, count(DISTINCT stage) AS stages FROM ev GROUP BY ALL HAVING count(DISTINCT stage) >= 3",
-    "value_conflicts": f"""WITH {W.VALUES}, s AS (SELECT param_code, location, stage, quantity AS v, list(DISTINCT file_id) AS f FROM ev WHERE quantity > 47 GROUP BY ALL),
- k AS (SELECT param_code, location, stage, min(v) AS low, max(v) AS high, CAST(count(*) AS INTEGER) AS n_values, CAST(len(list_distinct(flatten(list(f)))) AS INTEGER) AS n_files FROM s GROUP BY ALL HAVING count(*) BETWEEN 2 AND 4),
- p AS (SELECT DISTINCT a.param_code, a.location, a.stage FROM s a JOIN s b ON a.param_code = b.param_code AND a.location = b.location AND a.stage = b.stage AND a.v <> b.v WHERE NOT list_has_all(b.f, a.f) AND NOT list_has_all(a.f, b.f))
- SELECT k.* FROM k SEMI JOIN p USING (param_code, location, stage) WHERE n_files >= 2""",
+    "value_conflicts": f"""WITH {W.VALUES}, s AS (SELECT part, location, stage, quantity AS v, list(DISTINCT file_id) AS f FROM ev GROUP BY ALL),
+ k AS (SELECT part, location, stage, min(v) AS low, max(v) AS high, CAST(count(*) AS INTEGER) AS n_values, CAST(len(list_distinct(flatten(list(f)))) AS INTEGER) AS n_files FROM s GROUP BY ALL HAVING count(*) BETWEEN 2 AND 4),
+ p AS (SELECT DISTINCT a.part, a.location, a.stage FROM s a JOIN s b ON a.part = b.part AND a.location = b.location AND a.stage = b.stage AND a.v <> b.v WHERE NOT list_has_all(b.f, a.f) AND NOT list_has_all(a.f, b.f))
+ SELECT k.* FROM k SEMI JOIN p USING (part, location, stage) WHERE n_files >= 2""",
     "materials_minmax": f"""WITH {W.VALUES}, x AS (SELECT param_code, location, supplier, min(size) FILTER (stage = 'PD') AS pd, min(size) FILTER (stage = 'RD') AS rd, min(size) FILTER (stage = 'ID') AS id,
  min((size, type, part)) FILTER (stage = 'PD') AS pr, min((size, type, part)) FILTER (stage = 'RD') AS rr, min((size, type, part)) FILTER (stage = 'ID') AS ir FROM ev GROUP BY ALL)
  SELECT param_code, location, supplier, coalesce(rd, pd) AS expected, id AS actual, CASE WHEN coalesce(rr, pr) IS NULL OR ir IS NULL THEN 'ABSTAIN' WHEN ir < coalesce(rr, pr) THEN 'CLASS_DOWNGRADED' WHEN ir = coalesce(rr, pr) THEN 'EQUAL' ELSE 'CLASS_UPGRADED' END AS result FROM x""",

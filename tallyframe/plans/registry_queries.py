@@ -37,14 +37,13 @@ def stage_votes(spark, d):
 
 def twin_links(spark, d):
     part = W.load(spark, d, "part").select(F.col("p_brand").alias("folder"), F.col("p_name").alias("name"), "p_size")
-    out = R.nearest_codes(part.where("p_size <= 3"), part.where("p_size >= 49"), "name", "folder", 0.65)
+    out = R.nearest_codes(part, part.withColumn("name", F.concat_ws("_", "name", (F.col("p_size") % 10).cast("string"))), "name", "folder", 0.65)
     return out.select("folder", "name", "match", F.round("score", 6).alias("score"), "step")
 
 
 def near_codes(spark, d):
-    part = W.load(spark, d, "part")
-    code = F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 4)
-    return R.near_codes(part.where("p_partkey % 2 = 0").select(code.alias("code")), part.where("p_partkey % 2 = 1").select(code.alias("code")), "code")
+    code = lambda k: F.substring(F.md5(F.col(k).cast("string")), 1, 4).alias("code")
+    return R.near_codes(W.load(spark, d, "customer").select(code("c_custkey")), W.load(spark, d, "supplier").select(code("s_suppkey")), "code")
 
 
 def manifest_counts(spark, d):
@@ -63,8 +62,8 @@ def input_hash(spark, d):
 
 
 def sheet_overlap(spark, d):
-    rooms = W.values(spark, d).where("supplier <= 40").select("stage", "supplier", (F.col("part") % 50).alias("room"))
-    out = R.sheet_overlap(rooms.where("room < 20"), "stage", "supplier", "room", "PD", "RD", shared=18)
+    rooms = W.values(spark, d).select("stage", "supplier", F.col("part").alias("room"))
+    out = R.sheet_overlap(rooms, "stage", "supplier", "room", "PD", "RD")
     return out.select("page_a", "page_b", "shared", F.round("overlap", 6).alias("overlap"), F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -74,7 +73,7 @@ def counterparts(spark, d):
 
 
 def qr_links(spark, d):
-    e = W.load(spark, d, "events").where("event_id % 3 = 0").select("user_id", (F.get_json_object("props", "$.k").cast("int") % 5).alias("target"))
+    e = W.load(spark, d, "events").select("user_id", (F.get_json_object("props", "$.k").cast("int") % 5).alias("target"))
     return R.strict_majority(e, "user_id", "target")
 
 
@@ -85,7 +84,7 @@ def act_registry(spark, d):
 
 
 def queue_order(spark, d):
-    orders = W.load(spark, d, "orders").where("o_custkey <= 200")
+    orders = W.load(spark, d, "orders")
     rank = F.when(F.col("o_orderpriority").startswith("1"), 0).when(F.col("o_orderpriority").startswith("2"), 1).otherwise(2)
     return S.queue_order(orders, ["o_custkey"], [rank, F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", F.col("place").cast("bigint").alias("place"))
 
@@ -133,16 +132,16 @@ def semi_anti(spark, d):
 
 def intersect_except(spark, d):
     line = W.load(spark, d, "lineitem")
-    a, r = line.where("l_returnflag = 'A' and l_quantity > 49").select("l_partkey"), line.where("l_returnflag = 'R' and l_quantity > 49").select("l_partkey")
+    a, r = line.where("l_returnflag = 'A'").select("l_partkey"), line.where("l_returnflag = 'R'").select("l_partkey")
     return a.intersect(r).withColumn("kind", F.lit("both")).unionByName(a.subtract(r).withColumn("kind", F.lit("only")))
 
 
 QUERIES = {f.__name__: f for f in (exact_duplicates, near_duplicates, first_page_matches, duplicate_representatives, stage_votes, twin_links, near_codes, manifest_counts, file_counts, input_hash, sheet_overlap, counterparts, qr_links, act_registry, queue_order, next_pending, paging, finalized_without_delivery, q1, q3, q5, semi_anti, intersect_except)}
 
-_SHEETS = f"""{W.VALUES}, own AS (SELECT DISTINCT stage, supplier, part % 50 AS room FROM ev WHERE supplier <= 40 AND part % 50 < 20), sz AS (SELECT stage, supplier, count(*) AS n FROM own GROUP BY ALL),
- p AS (SELECT a.supplier AS page_a, b.supplier AS page_b, count(*) AS shared FROM own a JOIN own b USING (room) WHERE a.stage = 'PD' AND b.stage = 'RD' GROUP BY ALL HAVING count(*) >= 18),
+_SHEETS = f"""{W.VALUES}, own AS (SELECT DISTINCT stage, supplier, part AS room FROM ev), sz AS (SELECT stage, supplier, count(*) AS n FROM own GROUP BY ALL),
+ p AS (SELECT a.supplier AS page_a, b.supplier AS page_b, count(*) AS shared FROM own a JOIN own b USING (room) WHERE a.stage = 'PD' AND b.stage = 'RD' GROUP BY ALL HAVING count(*) >= 3),
  o AS (SELECT page_a, page_b, shared, round(shared / least(x.n, y.n), 6) AS overlap, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM p JOIN sz x ON x.stage = 'PD' AND x.supplier = page_a JOIN sz y ON y.stage = 'RD' AND y.supplier = page_b)"""
-_QUEUE = "q AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey) AS place FROM orders WHERE o_custkey <= 200)"
+_QUEUE = "q AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey) AS place FROM orders)"
 
 SQL = {
     "exact_duplicates": f"WITH {W.FILES} SELECT sha256, list_sort(list(file_id)) AS files, count(*) AS n FROM files GROUP BY 1 HAVING count(*) > 1",
@@ -153,17 +152,17 @@ SQL = {
  UNION ALL SELECT page_id, 'RD', 2 FROM pages WHERE regexp_matches(url, 'html') UNION ALL SELECT page_id, 'ID', 1 FROM pages WHERE regexp_matches(url, 'blog') UNION ALL SELECT page_id, 'PD', 3 FROM pages WHERE regexp_matches(url, 'page=')),
  g AS (SELECT page_id, stage, sum(w) AS w FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER x AS rn, coalesce(lead(w) OVER x, 0) AS nxt FROM g WINDOW x AS (PARTITION BY page_id ORDER BY w DESC, stage)), c AS (SELECT *, w >= 2 AND w - nxt >= 2 AND w >= 1.5 * nxt AS sure FROM r WHERE rn = 1)
  SELECT page_id, CASE WHEN sure THEN stage END AS stage, CASE WHEN sure THEN round(1 - exp(-CAST(w - nxt AS DOUBLE) / 3), 6) END AS confidence FROM c""",
-    "twin_links": """WITH a AS (SELECT DISTINCT p_brand AS folder, p_name AS name FROM part WHERE p_size <= 3), b AS (SELECT DISTINCT p_brand AS folder, p_name AS match FROM part WHERE p_size >= 49),
+    "twin_links": """WITH a AS (SELECT DISTINCT p_brand AS folder, p_name AS name FROM part), b AS (SELECT DISTINCT p_brand AS folder, p_name || '_' || (p_size % 10) AS match FROM part),
  p AS (SELECT folder, name, match, 1 - levenshtein(name, match) / greatest(length(name), length(match)) AS score FROM a JOIN b USING (folder)), r AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY score DESC, match) AS rn FROM p WHERE score >= 0.65)
  SELECT folder, name, match, round(score, 6) AS score, CASE WHEN score >= 0.98 THEN 0 WHEN score >= 0.90 THEN 1 WHEN score >= 0.80 THEN 2 WHEN score >= 0.65 THEN 3 ELSE 4 END AS step FROM r WHERE rn = 1""",
-    "near_codes": """WITH a AS (SELECT DISTINCT substring(md5(CAST(p_partkey AS VARCHAR)), 1, 4) AS code FROM part WHERE p_partkey % 2 = 0), b AS (SELECT DISTINCT substring(md5(CAST(p_partkey AS VARCHAR)), 1, 4) AS match FROM part WHERE p_partkey % 2 = 1)
+    "near_codes": """WITH a AS (SELECT DISTINCT substring(md5(CAST(c_custkey AS VARCHAR)), 1, 4) AS code FROM customer), b AS (SELECT DISTINCT substring(md5(CAST(s_suppkey AS VARCHAR)), 1, 4) AS match FROM supplier)
  SELECT code, min(match) AS match FROM a JOIN b ON hamming(code, match) = 1 GROUP BY 1 HAVING count(*) = 1""",
     "manifest_counts": f"WITH {W.FILES} SELECT lang, object_id, count(*) AS files, CAST(sum(pages) AS BIGINT) AS pages FROM files GROUP BY GROUPING SETS ((lang), (object_id), ())",
     "file_counts": f"WITH {W.FILES} SELECT lang, CASE WHEN n_chars > 2000 THEN 'LONG' ELSE 'SHORT' END AS status, count(*) AS n FROM files GROUP BY ALL",
     "input_hash": f"WITH {W.FILES} SELECT object_id, CAST(sum(CAST('0x' || substring(sha256(CAST(file_id AS VARCHAR) || chr(31) || sha256), 1, 13) AS BIGINT)) AS BIGINT) AS hash, count(*) AS n FROM files GROUP BY 1",
     "sheet_overlap": f"WITH {_SHEETS} SELECT * FROM o",
     "counterparts": f"WITH {_SHEETS} SELECT page_a, page_b, overlap FROM (SELECT *, row_number() OVER (PARTITION BY page_a ORDER BY overlap DESC, jaccard DESC, page_b) AS rn FROM o) WHERE rn = 1",
-    "qr_links": """WITH h AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 AS target, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(n) OVER w, 0) AS nxt FROM h WINDOW w AS (PARTITION BY user_id ORDER BY n DESC, target))
+    "qr_links": """WITH h AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 AS target, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(n) OVER w, 0) AS nxt FROM h WINDOW w AS (PARTITION BY user_id ORDER BY n DESC, target))
  SELECT user_id, target, n FROM r WHERE rn = 1 AND n >= 2 AND n > nxt""",
     "act_registry": "SELECT o_orderkey, CASE WHEN c_custkey IS NOT NULL THEN true WHEN o_orderpriority LIKE '1%' THEN false END AS in_registry FROM orders LEFT JOIN (FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey WHERE o_orderstatus = 'O'",
     "queue_order": f"WITH {_QUEUE} SELECT o_custkey, o_orderkey, place FROM q",
@@ -175,5 +174,5 @@ SQL = {
     "q3": "SELECT o_orderkey, o_orderdate, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < '1995-03-15' AND l_shipdate > '1995-03-15' GROUP BY ALL ORDER BY revenue DESC, o_orderkey LIMIT 10",
     "q5": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY 1",
     "semi_anti": "WITH o AS (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) SELECT c_mktsegment, count(*) AS n, 'semi' AS kind FROM customer WHERE c_custkey IN (FROM o) GROUP BY 1 UNION ALL SELECT c_mktsegment, count(*), 'anti' FROM customer WHERE c_custkey NOT IN (FROM o) GROUP BY 1",
-    "intersect_except": "WITH a AS (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 49), r AS (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49) SELECT l_partkey, 'both' AS kind FROM (FROM a INTERSECT FROM r) UNION ALL SELECT l_partkey, 'only' FROM (FROM a EXCEPT FROM r)",
+    "intersect_except": "WITH a AS (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'), r AS (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') SELECT l_partkey, 'both' AS kind FROM (FROM a INTERSECT FROM r) UNION ALL SELECT l_partkey, 'only' FROM (FROM a EXCEPT FROM r)",
 }

@@ -107,7 +107,7 @@ def weekly_report(spark, d):
 
 
 def weekly_trend(spark, d):
-    return R.weekly_trend(W.decisions(spark, d).where("object_id = 3"), "ts", "2023-12-25", 8, *_c())
+    return R.weekly_trend(W.decisions(spark, d), "ts", "2023-12-25", 8, *_c())
 
 
 def reject_reasons(spark, d):
@@ -141,7 +141,7 @@ def section_summary(spark, d):
 
 
 def latency_window(spark, d):
-    e = W.load(spark, d, "events").where("ts < '2024-01-04'")
+    e = W.load(spark, d, "events")
     out = R.latency_windows(e, "ts", "value", F.col("event_type") == "error", "60 minutes", "30 minutes")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", "errors", "p50", "p95")
 
@@ -160,11 +160,11 @@ def alerts(spark, d):
 
 
 def merge_run(spark, d):
-    p = W.load(spark, d, "part")
-    sha = lambda c: F.md5(c.cast("string"))
-    target = p.where("p_partkey % 10 < 8").select("p_partkey", sha(F.col("p_size")).alias("sha"), (F.col("p_partkey") % 3).cast("int").alias("row_version"))
-    source = p.where("p_partkey % 10 > 1").select("p_partkey", F.when(F.col("p_partkey") % 10 == 5, sha(F.col("p_size") + 1)).otherwise(sha(F.col("p_size"))).alias("sha"))
-    return R.merge(target, source, "p_partkey", "sha")
+    """Customers as the target, parts of the same numbers (100 further on) as the run to merge."""
+    sha = lambda c: F.md5(c.cast("string")).alias("sha")
+    target = W.load(spark, d, "customer").select(F.col("c_custkey").alias("k"), sha(F.col("c_nationkey") % 3), (F.col("c_custkey") % 3).cast("int").alias("row_version"))
+    source = W.load(spark, d, "part").select((F.col("p_partkey") + 100).alias("k"), sha(F.col("p_size") % 3))
+    return R.merge(target, source, "k", "sha")
 
 
 def merge_counts(spark, d):
@@ -216,6 +216,9 @@ _IND = f"""{_LATEST}, n AS (SELECT CAST(check_id % 30 AS INTEGER) AS object_id,
  ind AS (SELECT *, CASE WHEN confirmed > 1 THEN 'RED' WHEN pending > 0 THEN 'YELLOW' WHEN rejected > 0 THEN 'GREEN' ELSE 'NONE' END AS colour FROM n)"""
 _REPORT = "count(*) FILTER (decision = 'CONFIRMED_VIOLATION') AS confirmed, count(*) FILTER (decision = 'NEGATIVE_VERIFIED') AS rejected"
 
+_MERGE = """t AS (SELECT c_custkey AS k, md5(CAST(c_nationkey % 3 AS VARCHAR)) AS sha, CAST(c_custkey % 3 AS INTEGER) AS v FROM customer), s AS (SELECT p_partkey + 100 AS k, md5(CAST(p_size % 3 AS VARCHAR)) AS sha FROM part),
+ j AS (SELECT coalesce(t.k, s.k) AS k, CASE WHEN t.k IS NULL THEN 'INSERT' WHEN s.k IS NULL THEN 'SUPERSEDE' WHEN t.sha = s.sha THEN 'UNCHANGED' ELSE 'UPDATE' END AS action, v, coalesce(s.sha, t.sha) AS sha FROM t FULL JOIN s ON t.k = s.k)"""
+
 SQL = {
     "score_detection": f"WITH {W.JUDGED}, c AS (SELECT lang, {_counts()}, {_TN} FROM judged GROUP BY 1) SELECT *, {_PRF} FROM c",
     "score_pooled": f"""WITH {W.JUDGED}, c AS (SELECT 'all' AS "all", {_counts()}, {_TN} FROM judged) SELECT *, {_PRF} FROM c""",
@@ -236,7 +239,7 @@ SQL = {
  SELECT lang, source, score, round(mean_others, 6) AS mean_others FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY mean_others DESC NULLS LAST, source) AS rn FROM m) WHERE rn = 1""",
     "latest_decisions": f"WITH {_LATEST} SELECT check_id, decision, ts FROM latest",
     "weekly_report": f"WITH {W.DECISIONS}, c AS (SELECT object_id, reason_code, {_REPORT}, count(*) AS total FROM decisions GROUP BY ALL) SELECT *, CASE WHEN confirmed + rejected > 0 THEN round(confirmed / (confirmed + rejected), 3) END AS precision FROM c",
-    "weekly_trend": f"""WITH {W.DECISIONS}, w AS (SELECT CAST(DATE '2023-12-25' + CAST(i * 7 AS INTEGER) AS DATE) AS week FROM range(8) AS r(i)), c AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week, {_REPORT} FROM decisions WHERE object_id = 3 GROUP BY 1)
+    "weekly_trend": f"""WITH {W.DECISIONS}, w AS (SELECT CAST(DATE '2023-12-25' + CAST(i * 7 AS INTEGER) AS DATE) AS week FROM range(8) AS r(i)), c AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week, {_REPORT} FROM decisions GROUP BY 1)
  SELECT week, coalesce(confirmed, 0) AS confirmed, coalesce(rejected, 0) AS rejected, CASE WHEN coalesce(confirmed, 0) + coalesce(rejected, 0) > 0 THEN round(confirmed / (confirmed + rejected), 3) END AS precision FROM w LEFT JOIN c USING (week)""",
     "reject_reasons": f"WITH {W.DECISIONS}, c AS (SELECT reason_code, count(*) AS n FROM decisions WHERE decision = 'NEGATIVE_VERIFIED' GROUP BY 1) SELECT reason_code, n, round(n / sum(n) OVER (), 3) AS share, row_number() OVER (ORDER BY n DESC, reason_code) AS place FROM c",
     "recommendations": f"WITH {W.DECISIONS}, c AS (SELECT CAST(CAST(strftime(ts, '%Y%m%d') AS BIGINT) * 1000 + check_id % 40 AS BIGINT) AS day, {_REPORT} FROM decisions GROUP BY 1), f AS (SELECT * FROM c WHERE confirmed + rejected >= 3) SELECT day, 'REVIEW_RULE' AS advice FROM f WHERE rejected / (confirmed + rejected) >= 0.6 UNION ALL SELECT day, 'KEEP_RULE' FROM f WHERE rejected = 0",
@@ -244,14 +247,12 @@ SQL = {
     "indicator": f"WITH {_IND} SELECT * FROM ind",
     "dashboard_tiles": f"WITH {_IND} SELECT count(*) AS objects, count(*) FILTER (colour = 'RED') AS red, count(*) FILTER (colour = 'YELLOW') AS yellow, count(*) FILTER (colour = 'GREEN') AS green, count(*) FILTER (colour = 'NONE') AS none FROM ind",
     "section_summary": f"WITH {_IND} SELECT CAST(object_id % 3 AS INTEGER) AS section, CAST(sum(confirmed) AS BIGINT) AS confirmed, CAST(sum(pending) AS BIGINT) AS pending FROM ind WHERE colour = 'RED' GROUP BY 1 UNION ALL SELECT -1, CAST(sum(confirmed) AS BIGINT), CAST(sum(pending) AS BIGINT) FROM ind",
-    "latency_window": "WITH e AS (SELECT ts, value, event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events WHERE ts < '2024-01-04') SELECT start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM e GROUP BY 1",
+    "latency_window": "WITH e AS (SELECT ts, value, event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events) SELECT start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM e GROUP BY 1",
     "latency_histogram": "SELECT CAST(b AS DOUBLE) AS le, (SELECT count(*) FROM events WHERE value <= b) AS n FROM (VALUES (1), (2), (5), (10), (25), (50), (100), (250), (500), (1000)) AS v(b)",
     "usability": "SELECT event_type, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS median, round(quantile_cont(value, 0.9), 4) AS p90, max(value) AS most, round(avg(CAST(value <= 20 AS INTEGER)), 4) AS within FROM events GROUP BY 1",
     "alerts": "WITH h AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, max(value) AS worst FROM events GROUP BY 1) SELECT day, 'MANY_ERRORS' AS alert FROM h WHERE errors * 4 > n UNION ALL SELECT day, 'SLOW' FROM h WHERE worst > 150 UNION ALL SELECT day, 'QUIET' FROM h WHERE n < 320",
-    "merge_run": """WITH t AS (SELECT p_partkey, md5(CAST(p_size AS VARCHAR)) AS sha, CAST(p_partkey % 3 AS INTEGER) AS v FROM part WHERE p_partkey % 10 < 8), s AS (SELECT p_partkey, md5(CAST(CASE WHEN p_partkey % 10 = 5 THEN p_size + 1 ELSE p_size END AS VARCHAR)) AS sha FROM part WHERE p_partkey % 10 > 1),
- j AS (SELECT coalesce(t.p_partkey, s.p_partkey) AS p_partkey, CASE WHEN t.p_partkey IS NULL THEN 'INSERT' WHEN s.p_partkey IS NULL THEN 'SUPERSEDE' WHEN t.sha = s.sha THEN 'UNCHANGED' ELSE 'UPDATE' END AS action, v, coalesce(s.sha, t.sha) AS sha FROM t FULL JOIN s ON t.p_partkey = s.p_partkey)
- SELECT p_partkey, action, CASE action WHEN 'INSERT' THEN 1 WHEN 'UPDATE' THEN v + 1 ELSE v END AS row_version, sha, action = 'UPDATE' AS review_required FROM j""",
-    "merge_counts": "SELECT CASE WHEN p_partkey % 10 <= 1 THEN 'SUPERSEDE' WHEN p_partkey % 10 >= 8 THEN 'INSERT' WHEN p_partkey % 10 = 5 THEN 'UPDATE' ELSE 'UNCHANGED' END AS action, count(*) AS n FROM part GROUP BY 1",
+    "merge_run": f"WITH {_MERGE} SELECT k, action, CASE action WHEN 'INSERT' THEN 1 WHEN 'UPDATE' THEN v + 1 ELSE v END AS row_version, sha, action = 'UPDATE' AS review_required FROM j",
+    "merge_counts": f"WITH {_MERGE} SELECT action, count(*) AS n FROM j GROUP BY 1",
     "retention_purge": "SELECT event_type, count(*) AS n, min(ts) AS first FROM events WHERE ts >= DATE '2024-01-31' - CAST(CASE event_type WHEN 'error' THEN 20 WHEN 'signup' THEN 5 ELSE 10 END AS INTEGER) GROUP BY 1",
     "adjusted_percents": f"WITH {W.DECISIONS}, c AS (SELECT decision, count(*) AS n FROM decisions GROUP BY 1), e AS (SELECT decision, n, n * 1000 / sum(n) OVER () AS x FROM c), f AS (SELECT decision, n, CAST(floor(x) AS BIGINT) AS fl, x - floor(x) AS rest FROM e) SELECT decision, n, (fl + CASE WHEN row_number() OVER (ORDER BY rest DESC, decision) <= 1000 - sum(fl) OVER () THEN 1 ELSE 0 END) / 10 AS percent FROM f",
     "verification_summary": f"WITH {W.DECISIONS} SELECT object_id, count(*) AS n, {_REPORT}, count(DISTINCT check_id) AS checks FROM decisions GROUP BY 1",
