@@ -6,7 +6,7 @@ as the chance of the one unknown token. d is the Good-Turing discount for counts
 texts) and ABOVE beyond, so every context keeps mass to back off with; alpha normalises each context exactly.
 
 Tables (Parquet, partitioned by kind, in buckets of contexts or words): unigrams, pair counts (m), backoff weights (b).
-Words are named by 64-bit XXH64, so two words could share a count once in about 10^7 vocabularies of a million words.
+Words are named by 64-bit XXH64 (two words of a million share one once in 10^7 vocabularies), contexts by 48 bits of it.
 
 At scale: all occurrences of a pair meet once, packed by (batch of texts, bucket), and are counted and scored where they meet;
 what goes back to a text is a few sums, so occurrences are never joined with a table row by row. A light word (below
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count
 
@@ -29,11 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, release, stored
+from .packing import pack, unpack
 
 KATZ, ABOVE = 5, 0.999
 HEAVY = 1e-3
-BATCH_CHARS, BATCH_ROWS = 32_000_000, 60_000
+BATCH_CHARS, BATCH_ROWS = 14_000_000, 60_000
 BUCKET_TOKENS = 3_000_000
+#: Contexts go by 48 bits of their word's hash, which is what a pair costs to move; sums of logarithms go in units of 1e-10.
+CONTEXT = (1 << 48) - 1
+UNIT = 1e-10
 ROW = "kind string, bucket int, batch bigint, blob binary"
 
 
@@ -51,35 +55,15 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 7 == 2, F.lit(False))
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    import zstandard
-
-    c, out = zstandard.ZstdCompressor(level=1), []
-    for a in arrays:
-        kind = a.dtype.str.encode().ljust(4)
-        body = c.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"")
-        out += [kind, len(a).to_bytes(4, "little"), len(body).to_bytes(4, "little"), body]
-    return b"".join(out)
-
-
-def unpack(blob: bytes) -> list[np.ndarray]:
-    import zstandard
-
-    d, out, at = zstandard.ZstdDecompressor(), [], 0
-    while at < len(blob):
-        kind, n, size = np.dtype(blob[at : at + 4].decode().strip()), int.from_bytes(blob[at + 4 : at + 8], "little"), int.from_bytes(blob[at + 8 : at + 12], "little")
-        at += 12
-        raw = d.decompress(blob[at : at + size]) if n else b""
-        out.append(np.frombuffer(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).tobytes(), kind) if n else np.zeros(0, kind))
-        at += size
-    return out
-
-
 def _rows(*rows: tuple) -> pa.RecordBatch:
     kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["kind", "bucket", "batch", "blob"])
 
 
+def fixed(x: np.ndarray) -> np.ndarray:
+    return -np.rint(x / UNIT).astype(np.int64)  # sums of logarithms are mostly below 0, and small numbers pack well
+
+
 class Batch:
     """Distinct texts of some rows as codes: tokens (code of each, ends included), text of each, word hashes, training copies."""
 
@@ -95,7 +79,7 @@ class Batch:
             k = place.get(text)
             if k is None:
                 k = place[text] = len(codes)
-                codes.append(np.array(list(map(words.__getitem__, text.encode("utf-8", "surrogatepass").lower().split())) + [0], np.int64))
+                codes.append(np.array(list(map(words.__getitem__, text.encode("utf-8", "surrogatepass").lower().split())) + [0], np.int32))
                 copies.append(0)
             copies[k] += not held
             self.ids.append(i)
@@ -103,7 +87,7 @@ class Batch:
             self.at.append(k)
         self.n = np.fromiter(map(len, codes), np.int64, len(codes))
         self.token = np.concatenate(codes)
-        self.text = np.repeat(np.arange(len(codes)), self.n)
+        self.text = np.repeat(np.arange(len(codes), dtype=np.int32), self.n)
         self.copies = np.array(copies, np.int64)
         self.words = np.fromiter(map(word_hash, words), np.int64, len(words))
         first = np.cumsum(self.n) - self.n
@@ -167,6 +151,12 @@ class Model:
         at = np.minimum(np.searchsorted(self.heavy, words), len(self.heavy) - 1)
         return np.where(self.heavy[at] == words, at, -1)
 
+    def context_index(self, contexts: np.ndarray) -> np.ndarray:
+        """Place among the heavy words of contexts that are heavy."""
+        short = self.heavy & CONTEXT
+        order = np.argsort(short)
+        return order[np.searchsorted(short[order], contexts)]
+
     def chance(self, c: np.ndarray) -> np.ndarray:
         """P of words by their counts."""
         if not self.total:
@@ -186,7 +176,7 @@ def _pairs(shared, buckets: int) -> Callable:
         for b in _batches(source):
             place = model.index(b.words)
             h2 = place[b.token]
-            h1 = np.where(b.context < 0, model.start_at, place[b.context])
+            h1 = np.where(b.context < 0, model.start_at, place[b.context])  # place is int64, as its products need
             both = (h1 >= 0) & (h2 >= 0)
             n = np.bincount(h1[both] * k + h2[both], b.copies[b.text[both]]).astype(np.int64)
             at = np.flatnonzero(n)
@@ -195,11 +185,13 @@ def _pairs(shared, buckets: int) -> Callable:
                 yield _rows(("h", -1 - s, b.key, pack(own, n[own])))
             light = np.flatnonzero(~both)
             words, texts = len(b.words) + 1, len(b.n)
-            key = ((b.token[light] * words + b.context[light] + 1) * texts) + b.text[light]
+            del h1, h2, both
+            key = ((b.token[light].astype(np.int64) * words + b.context[light] + 1) * texts) + b.text[light]
             key, n = np.unique(key, return_counts=True)
             text, pair = (key % texts).astype(np.uint16), key // texts
             c2, c1 = pair // words, pair % words - 1
-            w2, w1 = b.words[c2], np.where(c1 < 0, model.start, b.words[c1])
+            w2, w1 = b.words[c2], np.where(c1 < 0, model.start, b.words[c1]) & CONTEXT
+            del key, c1
             bucket = np.where(place[c2] < 0, w2, w1) % buckets
             order = np.argsort(bucket, kind="stable")
             for part in np.split(order, np.cumsum(np.bincount(bucket, minlength=buckets))[:-1]):
@@ -219,7 +211,11 @@ def _met(shared, buckets: int) -> Callable:
     def run(rows: pa.Table) -> pa.Table:
         model, out = shared.value, []
         bucket = rows.column("bucket")[0].as_py()
-        keys, blobs = rows.column("batch").to_pylist(), [unpack(x) for x in rows.column("blob").to_pylist()]
+        keys, raw = rows.column("batch").to_pylist(), rows.column("blob").to_pylist()
+        times: Counter = Counter(keys)  # equal batches have one key: their texts are scored once and counted each time
+        if bucket >= 0:
+            keys, raw = list(times), list(dict(zip(keys, raw, strict=True)).values())
+        blobs = [unpack(x) for x in raw]
         if bucket < 0:
             pair, back = np.unique(np.concatenate([x[0] for x in blobs]), return_inverse=True)
             return pa.Table.from_batches([_rows(("h", bucket, 0, pack(pair, np.bincount(back, np.concatenate([x[1] for x in blobs])).astype(np.int64))))])
@@ -227,7 +223,7 @@ def _met(shared, buckets: int) -> Callable:
         w1 = np.concatenate([x[2] for x in blobs])
         spans = np.concatenate([x[3] for x in blobs])
         n = np.concatenate([x[5] for x in blobs]).astype(np.int64)
-        copies = np.concatenate([x[6][x[4]] for x in blobs]).astype(np.int64)
+        copies = np.concatenate([x[6][x[4]].astype(np.int64) * times[k] for x, k in zip(blobs, keys, strict=True)])
         batch = np.repeat(np.arange(len(blobs)), [len(x[4]) for x in blobs])
         text = np.concatenate([x[4] for x in blobs]).astype(np.int64)
         order = np.lexsort((w1, w2))
@@ -256,7 +252,7 @@ def _met(shared, buckets: int) -> Callable:
         ends = np.searchsorted(doc, np.arange(len(blobs) + 1) * 65536)
         for i, key in enumerate(keys):
             s = slice(ends[i], ends[i + 1])
-            out.append(("d", bucket, key, pack((doc[s] % 65536).astype(np.uint16), *[h[s] for h in hist], katz[s], base[s], known[s])))
+            out.append(("d", bucket, key, pack((doc[s] % 65536).astype(np.uint16), *[h[s] for h in hist], fixed(katz[s]), fixed(base[s]), known[s])))
         at = np.flatnonzero(seen)
         runs = np.flatnonzero(np.diff(np.searchsorted(u2, p2[at]), prepend=-1))
         out.append(("m", bucket, 0, pack(p2[at][runs], np.diff(runs, append=len(at)).astype(np.uint32), p1[at], seen[at])))
@@ -360,8 +356,8 @@ def _summed(d: np.ndarray) -> Callable:
             if kind == "x":
                 np.add.at(katz, x[0], x[1])
                 continue
-            np.add.at(katz, x[0], sum(h * v for h, v in zip(x[1 : KATZ + 2], logs, strict=True)) + x[KATZ + 2])
-            np.add.at(base, x[0], x[KATZ + 3])
+            np.add.at(katz, x[0], sum(h * v for h, v in zip(x[1 : KATZ + 2], logs, strict=True)) - x[KATZ + 2] * UNIT)
+            np.add.at(base, x[0], -x[KATZ + 3] * UNIT)
             np.add.at(known, x[0], x[KATZ + 4].astype(np.int64))
         return pa.table({"id": texts.column("id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(met), "n_known": pa.array(texts.column("n_known").to_numpy() + known[at]), "base_score": pa.array(texts.column("base_score").to_numpy() + base[at]), "score": pa.array(texts.column("score").to_numpy() + katz[at])})
 
@@ -405,13 +401,13 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     chance = model.chance(model.count)
     for i in np.unique(pair // k).tolist():
         c = seen[pair // k == i]
-        extra[int(model.heavy[i])] = np.array([*[(c == r).sum() for r in range(1, KATZ + 1)], c[c > KATZ].sum(), chance[pair[pair // k == i] % k].sum()], float)
+        extra[int(model.heavy[i]) & CONTEXT] = np.array([*[(c == r).sum() for r in range(1, KATZ + 1)], c[c > KATZ].sum(), chance[pair[pair // k == i] % k].sum()], float)
     seeds = spark.createDataFrame([("c", i, 0, pack(np.zeros(0, np.int64), *[np.zeros(0, np.uint32)] * KATZ, np.zeros(0, np.int64), np.zeros(0))) for i in range(buckets)], ROW)
-    backed = stored(of("c").unionByName(of("u")).select("kind", "bucket", "batch", "blob").unionByName(seeds).groupBy("bucket").applyInArrow(_backed(d, extra, model.heavy, buckets), ROW), "backoff", partitioned="kind")
+    backed = stored(of("c").unionByName(of("u")).select("kind", "bucket", "batch", "blob").unionByName(seeds).groupBy("bucket").applyInArrow(_backed(d, extra, model.heavy & CONTEXT, buckets), ROW), "backoff", partitioned="kind")
     alpha = np.zeros(k)
     for r in backed.where("kind = 'a'").select("blob").collect():  # heavy contexts only
         w, _, a = unpack(bytes(r[0]))
-        alpha[model.index(w)] = np.log10(a)
+        alpha[model.context_index(w)] = np.log10(a)
     parts = of("d").select("kind", "batch", "blob").unionByName(backed.where("kind = 'x'").select("kind", "batch", "blob"))
     texts = rows.mapInArrow(_texts(spark.sparkContext.broadcast((model, d, pair, seen, alpha))), TEXTS)
     out = texts.groupBy("batch").cogroup(parts.groupBy("batch")).applyInArrow(_summed(d), "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
