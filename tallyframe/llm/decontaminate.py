@@ -1,10 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Passages are windows of WINDOW words, each starting HALF words after the one before (letters and digits, lower case).
+1. Passages are windows of WINDOW words, each starting HALF words after the one before (lower case, marks off both ends).
    One pass over all texts counts in how many passages each word of the benchmark stands (document frequencies).
 2. The benchmark's passages, as TF-IDF rows, get a distributed randomised SVD: partitions return their part of
    A'(A X) for a random start X, the driver orthogonalises; two rounds. RANK directions are kept, or as many as there are passages.
-3. Every passage of every text is folded in; passages whose cosine with a benchmark passage reaches NEAR are candidates.
+3. Every passage that could count is folded in; passages whose cosine with a benchmark passage reaches NEAR are candidates.
+   A place that counts (see 4) holds one of its item's rarest words: they are more than the item may lose, so passages
+   without any item's rarest words are left out before the search, and items whose rarest words a text lacks after it.
 4. A candidate counts if the longest common subsequence with the item covers SURE of the item's words; or, for paraphrases,
    LIKELY of them and at least half of the item's ANSWER most telling words (highest IDF) stand in the place, too.
 
@@ -14,6 +16,7 @@ beyond TERMS share slots, directions are RANK; items are compared in blocks. The
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -28,14 +31,14 @@ from .common import documents, table
 WINDOW, HALF = 64, 32
 TERMS = 1 << 16
 RANK = 256
-NEAR = 0.3
+NEAR = 0.5
 SURE, LIKELY, ANSWER = 0.7, 0.5, 6
 ITEM_BLOCK = 4096
-_MARKS = str.maketrans(dict.fromkeys(".,;:!?\"'()[]{}<>|*#$%&@/\\_-+=~^`«»“”„’‘…¿¡", " "))
+_MARKS = ".,;:!?\"'()[]{}<>|*#$%&@/\\_-+=~^`«»“”„’‘…¿¡"
 
 
 def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().translate(_MARKS).split()
+    return [w for w in (x.strip(_MARKS) for x in (text or "").lower().split()) if w]
 
 
 def common_length(a: list, b: list) -> int:
@@ -76,6 +79,16 @@ class Index:
     def codes(self, words: list[str]) -> np.ndarray:
         return np.array(list(map(self.term.get, words, repeat(-1))), np.int32)
 
+    def text_codes(self, text: str | None) -> np.ndarray:
+        """codes(words_of(text)); only tokens with marks are stripped one by one."""
+        tokens = (text or "").lower().split()
+        codes = np.array(list(map(self.term.get, tokens, repeat(-1))), np.int32)
+        odd = np.flatnonzero(~np.fromiter(map(str.isalnum, tokens), bool, len(tokens)))
+        for i in odd[codes[odd] < 0].tolist():
+            w = tokens[i].strip(_MARKS)
+            codes[i] = self.term.get(w, -1) if w else -2
+        return codes[codes > -2] if len(odd) else codes
+
     def weigh(self, term: np.ndarray, n: np.ndarray) -> np.ndarray:
         return ((1 + np.log(n)) * self.idf[term]).astype(np.float32)
 
@@ -97,10 +110,10 @@ def _frequencies(shared) -> Callable:
         total, passages = np.zeros(index.terms, np.int64), 0
         for b in batches:
             for text in b.column(0):
-                words = words_of(text.as_py())
-                if words:
-                    passages += max(1, -(-len(words) // HALF) - 1)
-                    total += np.bincount(_passages(index.codes(words), index.terms)[1], minlength=index.terms)
+                codes = index.text_codes(text.as_py())
+                if len(codes):
+                    passages += max(1, -(-len(codes) // HALF) - 1)
+                    total += np.bincount(_passages(codes, index.terms)[1], minlength=index.terms)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(total[at], passages), pa.int64())], ["term", "n"])
 
@@ -145,11 +158,22 @@ def fitted(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
     shared = spark.sparkContext.broadcast(index)
     index.axes = directions(benchmark.where("text is not null"), shared, index)
     rows = index.rows(index.items)
-    index.latent = np.array([v @ index.axes[term] for _, term, v in rows], np.float32).reshape(len(rows), -1)
+    index.latent = np.array([v @ index.axes[term] for _, term, v in rows], np.float32).reshape(len(rows), index.axes.shape[1])
     index.latent /= np.maximum(np.linalg.norm(index.latent, axis=1, keepdims=True), 1e-9)
     index.of = np.array([k for k, (_, w) in enumerate(index.items) for _ in index.rows([(0, w)])], np.int64)
-    rare = lambda w: sorted(set(w), key=lambda x: (-float(index.idf[index.term[x]]), x))[:ANSWER]
-    index.answer = [set(rare(w)) for _, w in index.items]
+    rare = lambda w: sorted(set(w), key=lambda x: (-float(index.idf[index.term[x]]), x))
+    index.answer = [set(rare(w)[:ANSWER]) for _, w in index.items]
+    index.rarest = []
+    for _, w in index.items:
+        count, taken, own = Counter(w), 0, []
+        for x in rare(w):  # more tokens than an item may lose, and all words of the answer
+            if taken > (1 - SURE) * len(w) and len(own) >= ANSWER:
+                break
+            own.append(index.term[x])
+            taken += count[x]
+        index.rarest.append(frozenset(own))
+    index.is_rarest = np.zeros(index.terms, bool)
+    index.is_rarest[[t for own in index.rarest for t in own]] = True
     return index
 
 
@@ -179,23 +203,34 @@ def _verified(index: Index, words: list[str], passage: int, k: int) -> float:
 
 def judge(index: Index, text: str | None, near: float = NEAR) -> dict[int, float]:
     """Item to share, for the items that stand in a text."""
-    words = words_of(text)
-    if not words or not index.items:
+    if not index.items:
         return {}
-    p, term, n = _passages(index.codes(words), index.terms)
-    if not len(p):
+    codes = index.text_codes(text)
+    at = np.flatnonzero(codes >= 0)
+    at = at[index.is_rarest[codes[at]]]
+    if not len(at):
         return {}
-    found: dict[int, float] = {}
-    v = index.weigh(term, n)
-    starts = np.flatnonzero(np.diff(p, prepend=-1))
-    ids = p[starts]
-    for s in range(0, len(starts), 256):
-        a, b = starts[s], starts[s + 256] if s + 256 < len(starts) else len(p)
-        z = np.add.reduceat(index.axes[term[a:b]] * v[a:b, None], starts[s : s + 256] - a, axis=0)
+    last = max(0, -(-len(codes) // HALF) - 2)
+    ids = np.unique(np.clip(np.concatenate([at // HALF, at // HALF - 1]), 0, last))
+    p, term, n = _passages(codes, index.terms)
+    own = np.searchsorted(ids, p)
+    keep = ids[np.minimum(own, len(ids) - 1)] == p
+    own, term, v = own[keep], term[keep], index.weigh(term[keep], n[keep])
+    present, words, found = None, None, {}
+    for s in range(0, len(ids), 256):
+        a, b = np.searchsorted(own, [s, s + 256])
+        columns, place = np.unique(term[a:b], return_inverse=True)
+        x = np.zeros((min(256, len(ids) - s), len(columns)), np.float32)
+        x[own[a:b] - s, place] = v[a:b]
+        z = x @ index.axes[columns]
         z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
         for block in range(0, len(index.latent), ITEM_BLOCK):
             row, col = np.nonzero(z @ index.latent[block : block + ITEM_BLOCK].T >= near)
             for r, c in set(zip(row.tolist(), index.of[block + col].tolist(), strict=True)):
+                present = set(codes.tolist()) if present is None else present
+                if not index.rarest[c] & present:
+                    continue
+                words = words_of(text) if words is None else words
                 share = _verified(index, words, int(ids[s + r]), c)
                 item = index.items[c][0]
                 if share > found.get(item, 0.0):
