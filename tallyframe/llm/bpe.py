@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .packing import pack, unpack
 
 BATCH_CHARS = 32_000_000
 WORD_ROWS = 50_000
+PACK_ROWS = 500_000
 #: White space for Python that is none for the vocabulary's patterns.
 _OTHER = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[^\\S\x1c-\x1f]+")
@@ -61,20 +63,6 @@ def tokenizer(contents: str):
     return t
 
 
-def _packed(codes: np.ndarray) -> bytes:
-    """uint32 codes as planes of bytes, compressed."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
-
-
-def _unpacked(blob: bytes) -> np.ndarray:
-    import zstandard
-
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
-
-
 def _key(words: dict) -> int:
     h = hashlib.blake2b(digest_size=8)
     for w in words:
@@ -103,7 +91,7 @@ def _coded(most: int) -> Callable:
             ids, blobs = [], []
             for i, text in rows:
                 ids.append(i)
-                blobs.append(_packed(np.array(list(map(words.__getitem__, words_of(text))), np.uint32)))
+                blobs.append(pack(np.array(list(map(words.__getitem__, words_of(text))), np.uint32)))
             key = _key(words)
             for s in range(0, len(ids), 2000):
                 part = blobs[s : s + 2000]
@@ -127,24 +115,42 @@ def _dictionaries(most: int) -> Callable:
 
 
 def _encoded(contents) -> Callable:
-    """Sorted rows (batch, code, word) to (batch, code, ids): each distinct word is encoded once."""
+    """Sorted rows (batch, code, word) to rows (batch, packed codes and ids): each distinct word is encoded once."""
+
+    def packed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        batch, code, place = (np.concatenate([h[k] for h in held]) for k in (0, 1, 2))
+        names = [x for h in held for x in h[3]]
+        size = np.fromiter(map(len, names), np.int64, len(names)) // 2
+        order = np.lexsort((code, batch))
+        batch, code, place = batch[order], code[order], place[order]
+        for part in np.split(np.arange(len(order)), np.flatnonzero(np.diff(batch)) + 1):
+            ids = np.frombuffer(b"".join([names[k] for k in place[part].tolist()]), "<u2")
+            blob = pack(np.diff(code[part], prepend=0).astype(np.uint32), size[place[part]].astype(np.uint32), ids)
+            yield pa.RecordBatch.from_arrays([pa.array([int(batch[part[0]])], pa.int64()), pa.array([blob], pa.binary())], ["batch", "words"])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(contents.value)
         last_word, last_ids = None, b""
+        held, rows, known = [], 0, 0
         for b in source:
             if not b.num_rows:
                 continue
-            coded = pc.dictionary_encode(b.column(b.schema.get_field_index("word")))
+            column = lambda name: b.column(b.schema.get_field_index(name))  # noqa: B023, E731
+            coded = pc.dictionary_encode(column("word"))
             names = coded.dictionary.to_pylist()
             fresh = [w for w in names if w != last_word]
             got = dict(zip(fresh, (np.array(e.ids, "<u2").tobytes() for e in t.encode_batch_fast(fresh, add_special_tokens=False)), strict=True)) if fresh else {}
             if last_word in names:
                 got[last_word] = last_ids
-            last_word = b.column(b.schema.get_field_index("word"))[b.num_rows - 1].as_py()
+            last_word = column("word")[b.num_rows - 1].as_py()
             last_ids = got[last_word]
-            ids = pa.array([got[w] for w in names], pa.binary()).take(coded.indices)
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("batch")), b.column(b.schema.get_field_index("code")), ids], ["batch", "code", "ids"])
+            held.append((column("batch").to_numpy(), column("code").to_numpy(), coded.indices.to_numpy() + known, [got[w] for w in names]))
+            rows, known = rows + b.num_rows, known + len(names)
+            if rows >= PACK_ROWS:
+                yield from packed(held)
+                held, rows, known = [], 0, 0
+        if held:
+            yield from packed(held)
 
     return run
 
@@ -153,20 +159,27 @@ def _assembled(contents, full: bool) -> Callable:
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         t = tokenizer(contents.value)
         piece = {i: p.encode() for p, i in t.get_vocab(with_added_tokens=True).items()}  # the id-to-piece table
-        code = words.column("code").to_numpy()
-        if docs.num_rows and (len(code) != (code.max() + 1 if len(code) else 0) or len(np.unique(code)) != len(code)):
+        found = [unpack(x) for x in words.column("words").to_pylist()]
+        code = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(x[0], dtype=np.int64) for x in found]])
+        kinds = np.unique(code)  # batches of equal dictionaries have one key, and the same ids more than once
+        if docs.num_rows and (not len(kinds) or kinds[-1] != len(kinds) - 1):
             raise ValueError("a batch and its dictionary differ: the source gave other rows when it was read again")
-        ids = [b""] * len(code)
-        for c, x in zip(code.tolist(), words.column("ids").to_pylist(), strict=True):
-            ids[c] = x
+        ids = [b""] * len(kinds)
+        at = 0
+        for _, size, x in found:
+            end = np.cumsum(size, dtype=np.int64) * 2
+            raw = x.tobytes()
+            for c, s, e in zip(code[at : at + len(size)].tolist(), (end - size * 2).tolist(), end.tolist(), strict=True):
+                ids[c] = raw[s:e]
+            at += len(size)
         pieces = [b" ".join([piece[k] for k in np.frombuffer(x, "<u2").tolist()]) for x in ids]
         blank = not all(ids)
         out: list[list] = [[], [], [], [], [], []]
         for i, blob in zip(docs.column("id").to_pylist(), docs.column("codes").to_pylist(), strict=True):
-            codes = _unpacked(blob).tolist()
-            found = np.frombuffer(b"".join([ids[c] for c in codes]), "<u2").astype("<u4")
+            codes = unpack(blob)[0].tolist()
+            tokens = np.frombuffer(b"".join([ids[c] for c in codes]), "<u2").astype("<u4")
             text = b" ".join([pieces[c] for c in codes if not blank or ids[c]])
-            for k, x in enumerate((i, len(found), hashlib.sha256(found.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest(), found.tolist() if full else None, text.decode() if full else None)):
+            for k, x in enumerate((i, len(tokens), hashlib.sha256(tokens.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest(), tokens.tolist() if full else None, text.decode() if full else None)):
                 out[k].append(x)
         return pa.table([pa.array(x, kind) for x, kind in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.string()), strict=True)], ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
 
@@ -182,7 +195,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", con
     shared = docs.sparkSession.sparkContext.broadcast(contents or vocabulary())
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     words = rows.mapInArrow(_dictionaries(batch_chars), "batch bigint, code int, word string").repartition("word").sortWithinPartitions("word")
-    known = words.mapInArrow(_encoded(shared), "batch bigint, code int, ids binary")
+    known = words.mapInArrow(_encoded(shared), "batch bigint, words binary")
     coded = rows.mapInArrow(_coded(batch_chars), "batch bigint, id bigint, codes binary")
     out = coded.groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(_assembled(shared, full), "id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids array<bigint>, decoded string")
     out = out.withColumnRenamed("id", id_col)
