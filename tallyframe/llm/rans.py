@@ -34,29 +34,48 @@ STEPS = 256
 PART_TOKENS = 1 << 21
 END = 2
 MAGIC = b"TRS1"
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1_000_000
 #: A text of which every run of white space is one space or line break between two other characters is cut there; its
 #: pieces are tokenized on their own just as in the whole text.
 _ODD = re.compile(r"^\s|\s$|\s\s|[^\S \n]")
+#: Such words tokenize next to each other as on their own.
+_RUN = re.compile(r"[ \n]\S+")
 
 
 class Ids:
-    """Ids of whole texts, by their words; a bounded number of words is kept."""
+    """Ids of whole texts, by their words; the first KNOWN_WORDS words are kept for the life of the process."""
+
+    _of: dict[int, Ids] = {}
+
+    @classmethod
+    def of_process(cls, contents: str) -> Ids:
+        key = zlib.crc32(contents.encode())
+        if key not in cls._of:
+            cls._of[key] = cls(contents)
+        return cls._of[key]
 
     def __init__(self, contents: str) -> None:
         self.of = tokenizer(contents)
+        vocab = self.of.get_vocab(with_added_tokens=True)
+        self.size = np.zeros(max(vocab.values()) + 1, np.int64)
+        for piece, i in vocab.items():
+            self.size[i] = len(piece)  # the vocabulary has a character for each byte
         self.known: dict[str, bytes] = {}
 
     def words(self, words: list[str]) -> list[bytes]:
         """Ids (32 bits each) of words, each with the space or line break before it."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
         known = self.known
         new = [w for w in words if w not in known]
-        got = {}
-        for s in range(0, len(new), 20_000):
-            part = new[s : s + 20_000]
-            got.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.of.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        runs = [w for w in new if _RUN.fullmatch(w)]
+        alone = [w for w in new if not _RUN.fullmatch(w)]
+        got = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(alone, self.of.encode_batch_fast(alone, add_special_tokens=False), strict=True)} if alone else {}
+        for s in range(0, len(runs), 50_000):
+            parts = [runs[k : k + 500] for k in range(s, min(s + 50_000, len(runs)), 500)]
+            for part, e in zip(parts, self.of.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in part]), "left") + 1
+                raw = ids.tobytes()
+                got.update(zip(part, (raw[4 * i : 4 * j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
         known.update([(w, x) for w, x in got.items() if len(w) <= 64][: max(0, KNOWN_WORDS - len(known))])
         return [got[w] if w in got else known[w] for w in words]
 
@@ -93,7 +112,7 @@ def _held(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[
 
 def _counted(contents) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, total, n = Ids(contents.value), np.zeros(1, np.int64), 0
+        of, total, n = Ids.of_process(contents.value), np.zeros(1, np.int64), 0
         for _, texts in _held(batches):
             words: Counter = Counter()
             for t in texts:
@@ -211,7 +230,10 @@ class Coder:
             state[live] = np.where(low, (x << np.uint64(32)) | take, x)
             place[live] += nth[:, -1]
         out, k = [], 0
+        begun = np.array(states, np.uint64)
         for n, marks, crc in heads:
+            if (state[k : k + marks] != np.append(begun[k + 1 : k + marks], np.full((1, LANES), LOW), axis=0)).any():
+                raise ValueError("a block's checksum is wrong: its states don't meet")
             ids = found[k : k + marks].reshape(-1)[:n]
             if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
                 raise ValueError("a block's checksum is wrong")
@@ -227,7 +249,7 @@ def _written(contents, freq) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        file, of, coder = TaskContext.get().partitionId(), Ids(contents.value), Coder(freq.value)
+        file, of, coder = TaskContext.get().partitionId(), Ids.of_process(contents.value), Coder(freq.value)
         part = before = 0
 
         def row(ids: list, arrays: list[np.ndarray], n: int) -> pa.RecordBatch:
