@@ -2,13 +2,13 @@
 
 Tokens are runs without white space; their features are the word, its beginnings and its endings, hashed. Only documents have
 labels, so tokens are labelled first: in toxic training documents those whose word or beginning occurs nearly only in toxic
-training documents (counted over all of them by grouped aggregation), none in clean ones; after a first fit, the field's own
+training documents (counted by grouped aggregation over at most COUNT_DOCS a class), none in clean ones; after a first fit, the field's own
 marginals in toxic documents add labels. The chain runs over windows of WINDOW tokens, which together cover the text.
 Forward-backward marginals give the tagged spans and, by a logistic map of the largest marginal and of their sum
 (fitted on training documents), the document's score.
 
-At scale: two small aggregations; the field is fitted on the driver on at most FIT_DOCS labelled documents a class of at most
-FIT_CHARS characters (those of least hash; documented bounds). All documents are scored in one pass without a shuffle.
+At scale: labels choose documents by a broadcast of their bounded ids, so texts are never shuffled; the field is fitted on the
+driver on at most FIT_DOCS labelled documents a class of at most FIT_CHARS characters (those of least hash, as for COUNT_DOCS; documented bounds). All documents are scored in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import documents, table
 
 FIT_DOCS = 2500
+COUNT_DOCS = 20_000
 FIT_CHARS = 20_000
 LEXICON = 20_000
 WINDOW = 64
@@ -196,10 +197,13 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> Field:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS, count_docs: int = COUNT_DOCS) -> Field:
     """Fit on labelled documents that are not held out. Null ids, null labels and ids labelled both ways are left out; without toxic labels nothing is tagged."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.min(label_col).alias("_toxic"), F.max(label_col).alias("_most")).where("_toxic = _most").drop("_most")
-    rows = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).join(known, id_col)
+    ranked = known.withColumn("_h", F.xxhash64(id_col))
+    texts_of = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text"))
+    few = lambda n: F.broadcast(ranked.where("_toxic = 0").orderBy("_h", id_col).limit(n).unionAll(ranked.where("_toxic = 1").orderBy("_h", id_col).limit(n)).drop("_h"))
+    rows = texts_of.join(few(count_docs), id_col)
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each word and each beginning of each text once, as counts of clean and toxic texts in this partition."""
@@ -215,9 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lexicon = {r["k"]: r["toxic"] for r in sure.collect()}
     floor = max(3, max(lexicon.values(), default=0) // 40)  # words that copies of one text share stay below it
     lexicon = {k for k, n in lexicon.items() if n >= floor}
-    ranked = known.withColumn("_h", F.xxhash64(id_col))
-    chosen = [ranked.where(F.col("_toxic") == y).orderBy("_h", id_col).limit(fit_docs) for y in (0, 1)]
-    some = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).where(F.length("_text") <= fit_chars).join(F.broadcast(chosen[0].unionAll(chosen[1]).drop("_h")), id_col).select("_text", "_toxic", id_col).dropDuplicates([id_col]).toPandas().sort_values(id_col)
+    some = texts_of.where(F.length("_text") <= fit_chars).join(few(fit_docs), id_col).select("_text", "_toxic", id_col).dropDuplicates([id_col]).toPandas().sort_values(id_col)
     texts = [t.split() for t in some["_text"]]
     toxic = some["_toxic"].to_numpy(float)
     field = Field()
