@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe, decontaminate, exact_dedup, quality, simhash
+from tallyframe.llm import bpe, decontaminate, exact_dedup, near_copies, quality
 from tallyframe.llm.common import documents, stored, table
 
 
@@ -22,8 +22,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the row with the least doc_id."""
-    return simhash.deduplicated(docs)
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more), the row with the least doc_id."""
+    return near_copies.deduplicated(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

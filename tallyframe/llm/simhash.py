@@ -25,20 +25,24 @@ WORDS, SEED, BITS_APART = 3, 42, 3
 CHUNK = 1 << 16
 
 
+def spans(text: str | None, words: int = WORDS) -> tuple[bytes, list[int], list[int]]:
+    """The words of text with a space between, and where its shingles start and end there; none for no words or null."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z, and space and 0x09 to 0x0D, only
+    whole = b" ".join(parts)
+    if len(parts) <= words:
+        return whole, [0][: len(parts)], [len(whole)][: len(parts)]
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    after = np.cumsum(size + 1) - 1
+    return whole, (after - size)[: len(parts) - words + 1].tolist(), after[words - 1 :].tolist()
+
+
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """Signed 64-bit SimHash of the word shingles of text; 0 for no words or null."""
     import xxhash
 
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z, and space and 0x09 to 0x0D, only
-    if not parts:
+    whole, starts, ends = spans(text, words)
+    if not starts:
         return 0
-    whole = b" ".join(parts)
-    if len(parts) <= words:
-        starts, ends = [0], [len(whole)]
-    else:
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        after = np.cumsum(size + 1) - 1
-        starts, ends = (after - size)[: len(parts) - words + 1].tolist(), after[words - 1 :].tolist()
     digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, len(starts), CHUNK):
         hashes = np.array([digest(whole[s:e], SEED) for s, e in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)], "<u8")
