@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import one_of_each, ordered_row, stored
 from .components import components
 from .simhash import SEED, spans
 
@@ -85,22 +85,6 @@ def _sets(words: int) -> Callable:
     return run
 
 
-def key(id_col: str, text_col: str) -> Column:
-    """Id and text of a row in one string."""
-    return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("none")), F.lit(":"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-
-
-def ordered_row(id_col: str, text_col: str) -> Column:
-    """(none, id, key): its least is the least id's row; null ids come last."""
-    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key(id_col, text_col).alias("key"))
-
-
-def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs, in its columns, with one row of each root of found (row, root): the least."""
-    kept = found.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.key").alias("_row"))
-    return docs.withColumn("_row", key(id_col, text_col)).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
-
-
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
     """(row, root) for each row of docs: rows with one root are connected by pairs of sets similar at least or more; texts without words are copies of each other."""
     spark = docs.sparkSession

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, one_of_each, ordered_row, stored
 from .components import components
 
 WORDS, SEED, BITS_APART = 3, 42, 3
@@ -92,26 +92,29 @@ def links(fps: DataFrame) -> DataFrame:
     return homes.join(replicas, ["half", "anchor"]).where((F.col("a") < F.col("b")) & (apart <= BITS_APART)).select("a", "b")
 
 
+def _classed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of each row, and (fp, least, root) of each fingerprint: its least id and its component."""
+    marked = stored(fingerprints(docs, id_col, text_col), "fingerprints")
+    fps = stored(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    roots = components(links(fps))
+    return marked, fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits), component_id (least id reachable over links).
 
     Null and empty texts have fingerprint zero and link like any other; a null id is never a component_id unless
     its component has no other; repeated rows stay repeated; an empty table gives no rows; other columns are ignored.
     """
-    marked = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    fps = stored(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    roots = components(links(fps))
-    classes = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    marked, classes = _classed(docs, id_col, text_col)
     classes = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return marked.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, in its columns, with one row of each component: that of the least id."""
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col(id_col).cast("string"), F.lit("none")).alias("_row")).distinct()
-    marked = docs.withColumn("_row", F.coalesce(F.col(id_col).cast("string"), F.lit("none")))
-    return marked.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    """docs, in its columns, with one row of each component: that of the least id, null ids last, and of its texts that of the least hash."""
+    marked, classes = _classed(docs.select(ordered_row(id_col, text_col).alias("row"), F.col(text_col).alias("text")), "row", "text")
+    return one_of_each(docs, marked.join(classes, "fp").select(F.col("id").alias("row"), "root"), id_col, text_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
