@@ -1,6 +1,7 @@
 """Secret scan: a random forest removes false positives among candidate strings. DataFrame functions only.
 
-Candidates are words with a run of 12 or more key characters that has a digit or changes case. Features: length, changes between
+Candidates are all runs of 12 or more key characters in a word that have a digit or change case, and runs of any length and case
+that are assigned to a name of a secret. Features: length, changes between
 character classes, shares of digits, capitals, hexadecimal digits and other signs, distinct characters, dictionary coverage
 (share of the candidate in runs of letters that are among the DICTIONARY most frequent words of all texts), the neighbouring
 words and the path. The forest is fitted on the driver, in plain Python, on at most FIT_FINDINGS labelled findings a class (those of
@@ -27,10 +28,28 @@ DICTIONARY = 20_000
 TREES, DEPTH, LEAST = 15, 6, 5
 KEY = "[A-Za-z0-9+/_=.@-]"
 NAMES = "(?i)(secret|token|passw|pwd|api.?key|auth|credential|private|bearer)"
+#: A name and what is assigned to it, or a run of key characters; what comes off its front; an assignment to a name of a secret; words that can hold either.
+HEAD = "^[\"'(]*[A-Za-z0-9_.-]*[A-Za-z_.-][\"']?[=:]+(?=[\"'(]*[A-Za-z0-9+/_.@-])"
+PART = "[\"'(]*[A-Za-z0-9_.-]*[A-Za-z_.-][\"']?[=:]+[\"'(]*[A-Za-z0-9+/_.@-]" + KEY + "*|" + KEY + "+"
+NAMED = "(?i)^[\"'(]*[a-z0-9_.-]*" + NAMES.replace("(?i)", "") + "[a-z0-9_.-]*[\"']?[=:]"
+GATE = KEY + "{12,}|" + NAMES + ".*[=:]"
 PATHS = "(?i)(test|example|sample|mock|fixture|doc)"
 FEATURES = ("size", "changes", "digits", "capitals", "hexadecimal", "signs", "distinct", "covered", "named", "assigned", "quoted", "near_name", "test_path", "at", "dots")
 
 
+def _runs(word: Column, named_before: Column) -> Column:
+    """(candidate, word) of a word, in order: key runs of 12 and more with a digit or a change of case, and runs assigned to a name of a secret.
+
+    The word of several candidates is cut: each has its own name and marks beside it.
+    """
+    parts = F.regexp_extract_all(word, F.lit(PART), F.lit(0))
+    run = lambda x: F.regexp_replace(F.regexp_replace(x, HEAD, ""), "^[\"'(]+", "")
+    plain = lambda x: (F.length(run(x)) >= 12) & (run(x).rlike("[0-9]") | run(x).rlike("[a-z][A-Z]"))
+    kept = F.filter(parts, lambda x, k: (run(x) != "") & (x.rlike(NAMED) | plain(x) | ((k == 0) & named_before)))
+    of = F.transform(kept, lambda x: F.struct(run(x).alias("candidate"), F.when(F.size(kept) == 1, word).otherwise(x).alias("word")))
+    return F.when(word.rlike(GATE) | named_before, of).otherwise(F.array().cast("array<struct<candidate:string,word:string>>"))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """(id, path, word_no, before, word, after, candidate) of every candidate in whole texts.
 
@@ -40,11 +59,12 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), path.alias("path"), words.alias("w"))
     word = lambda i: F.get("w", i)
-    long = lambda i: (F.length(word(i)) >= 12) & (word(i).rlike("[0-9]") | word(i).rlike("[a-z][A-Z]")) & word(i).rlike(KEY + "{12,}")
-    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), long)
-    hits = F.transform(at, lambda i: F.struct(i.alias("word_no"), F.concat_ws(" ", word(i - 2), word(i - 1)).alias("before"), word(i).alias("word"), F.coalesce(word(i + 1), F.lit("")).alias("after")))
-    found = rows.select("id", "path", F.explode(hits).alias("h")).select("id", "path", "h.*")
-    return found.withColumn("candidate", F.regexp_extract("word", r"(?:[A-Za-z_.-]+[=:])?[\"'(]*(" + KEY + "{12,})", 1)).where("candidate <> ''")
+    mark = lambda x: F.coalesce(x.rlike("[=:]$"), F.lit(False))
+    named = lambda i: mark(word(i - 1)) & F.concat_ws("", word(i - 2), word(i - 1)).rlike(NAMES + "[^=:]*[=:]+$") & (word(i - 1).rlike(NAMES) | word(i - 1).rlike("^[=:]+$"))
+    runs = F.filter(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(i.alias("i"), _runs(word(i), named(i)).alias("runs"))), lambda x: F.size(x["runs"]) > 0)
+    hit = lambda x: F.struct(x["i"].alias("word_no"), F.concat_ws(" ", word(x["i"] - 2), word(x["i"] - 1)).alias("before"), F.coalesce(word(x["i"] + 1), F.lit("")).alias("after"), x["runs"].alias("runs"))
+    found = rows.select("id", "path", F.explode(F.transform(runs, hit)).alias("h")).select("id", "path", "h.*")
+    return found.select("id", "path", "word_no", "before", "after", F.explode("runs").alias("r")).select("id", "path", "word_no", "before", "r.word", "after", "r.candidate")
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
