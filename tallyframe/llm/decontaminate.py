@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Passages are windows of WINDOW words, each starting HALF words after the one before (lower case, marks off both ends).
+1. Passages are windows of WINDOW words, each starting HALF words after the one before (letters and digits, lower case).
    One pass over all texts counts in how many passages each word of the benchmark stands (document frequencies).
 2. The benchmark's passages, as TF-IDF rows, get a distributed randomised SVD: partitions return their part of
-   A'(A X) for a random start X, the driver orthogonalises; two rounds. RANK directions are kept, or as many as there are passages.
+   A'(A X) for a random start X, the driver orthogonalises; two rounds. As many directions are kept as the passages span.
 3. Every passage that could count is folded in; passages whose cosine with a benchmark passage reaches NEAR are candidates.
    A place that counts (see 4) holds one of its item's rarest words: they are more than the item may lose, so passages
    without any item's rarest words are left out before the search, and items whose rarest words a text lacks after it.
@@ -11,7 +11,7 @@
    LIKELY of them and at least half of the item's ANSWER most telling words (highest IDF) stand in the place, too.
 
 At scale: texts are not shuffled; two passes with the benchmark's words and directions broadcast. Both are bounded: words
-beyond TERMS share slots, directions are RANK; items are compared in blocks. The benchmark is a stated query set against all rows.
+beyond TERMS share slots, directions grow with the benchmark's passages; items are compared in blocks. The benchmark is a stated query set against all rows.
 """
 
 from __future__ import annotations
@@ -30,15 +30,14 @@ from .common import documents, table
 
 WINDOW, HALF = 64, 32
 TERMS = 1 << 16
-RANK = 256
-NEAR = 0.5
+NEAR = 0.3
 SURE, LIKELY, ANSWER = 0.7, 0.5, 6
 ITEM_BLOCK = 4096
-_MARKS = ".,;:!?\"'()[]{}<>|*#$%&@/\\_-+=~^`«»“”„’‘…¿¡"
+_MARKS = str.maketrans(dict.fromkeys(".,;:!?\"'()[]{}<>|*#$%&@/\\_-+=~^`«»“”„’‘…¿¡", " "))
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for w in (x.strip(_MARKS) for x in (text or "").lower().split()) if w]
+    return (text or "").lower().translate(_MARKS).split()
 
 
 def common_length(a: list, b: list) -> int:
@@ -80,14 +79,8 @@ class Index:
         return np.array(list(map(self.term.get, words, repeat(-1))), np.int32)
 
     def text_codes(self, text: str | None) -> np.ndarray:
-        """codes(words_of(text)); only tokens with marks are stripped one by one."""
-        tokens = (text or "").lower().split()
-        codes = np.array(list(map(self.term.get, tokens, repeat(-1))), np.int32)
-        odd = np.flatnonzero(~np.fromiter(map(str.isalnum, tokens), bool, len(tokens)))
-        for i in odd[codes[odd] < 0].tolist():
-            w = tokens[i].strip(_MARKS)
-            codes[i] = self.term.get(w, -1) if w else -2
-        return codes[codes > -2] if len(odd) else codes
+        """codes(words_of(text))."""
+        return self.codes(words_of(text))
 
     def weigh(self, term: np.ndarray, n: np.ndarray) -> np.ndarray:
         return ((1 + np.log(n)) * self.idf[term]).astype(np.float32)
@@ -133,17 +126,17 @@ def _product(shared, start: np.ndarray) -> Callable:
     return run
 
 
-def directions(benchmark: DataFrame, shared, index: Index, text_col: str = "text", rank: int = RANK, rounds: int = 2, seed: int = 5) -> np.ndarray:
-    """(terms, rank) orthonormal directions of the benchmark's passages."""
+def directions(benchmark: DataFrame, shared, index: Index, text_col: str = "text", rounds: int = 2, seed: int = 5) -> np.ndarray:
+    """(terms, rank) orthonormal directions that span the benchmark's passages."""
     n = sum(max(1, -(-len(w) // HALF) - 1) for _, w in index.items)
-    width = max(1, min(rank + 10, n, index.terms))
+    width = max(1, min(n, index.terms))
     x = np.random.default_rng(seed).standard_normal((index.terms, width)).astype(np.float32)
     for _ in range(rounds):
         x = np.linalg.qr(x)[0].astype(np.float32)
         parts = benchmark.select(text_col).mapInArrow(_product(shared, x), "part binary").coalesce(8).collect()
         x = sum((np.frombuffer(p[0], np.float32).reshape(x.shape) for p in parts), np.zeros_like(x))
     left, size, _ = np.linalg.svd(x, full_matrices=False)
-    keep = min(rank, int((size > 1e-6 * max(size[0], 1e-12)).sum()))
+    keep = int((size > 1e-6 * max(size[0], 1e-12)).sum())
     return np.ascontiguousarray(left[:, : max(1, keep)], np.float32)
 
 
