@@ -6,7 +6,11 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +72,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def task_count(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.Table]:
+    """Rows in runs of about `most` bytes of a column of strings."""
+    held, size = [], 0
+    for b in batches:
+        while b.num_rows:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+            k = min(b.num_rows, int(np.searchsorted(ends, most - size)) + 1)
+            held.append(b.slice(0, k))
+            size += int(ends[k - 1])
+            b = b.slice(k)
+            if size >= most:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)

@@ -1,30 +1,31 @@
 """Token ids in binary files under a static range asymmetric numeral system.
 
-One pass counts the ids of all texts and makes the shared table of frequencies (2^SCALE in all, at least 1 for each id that
-occurs). A second range-partitions the texts by id, sorts them, and writes parts of about PART_TOKENS ids (whole texts). In a part,
+One pass tokenizes every text once: it stores the ids of each text (16 bits each where the vocabulary allows) and counts them, which makes the
+shared table of frequencies (2^SCALE in all, at least 1 for each id that occurs). A second range-partitions the stored ids by document, sorts them, and
+writes parts of about part_tokens ids (whole texts). In a part,
 blocks of BLOCK ids are coded independently by LANES interleaved states that share one run of 32-bit words; every STEPS steps
 a checkpoint holds the states and the place in the words, so a block can be decoded from several places at once; each block has the CRC-32 of
-its ids. The files are Parquet rows: file, part, ids before it in the file, texts' ids and lengths, payload.
+its ids. The files are Parquet rows (file, part, ids before it in the file, texts' ids and lengths, payload) in the folder `parts` beside the folder
+`frequencies`, so a reader needs the folder and nothing else.
 
-At scale: texts are shuffled once. What reaches the driver is bounded: a count for each id of the vocabulary, and one total for each file.
+At scale: texts are not shuffled, their ids are, once. What reaches the driver is bounded: a count for each id of the vocabulary, and one total for each file.
 """
 
 from __future__ import annotations
 
-import re
 import struct
+import uuid
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import tokenizer, vocabulary
-from .common import documents, stored
+from .common import documents, runs, shared_dir, stored
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
@@ -34,25 +35,18 @@ STEPS = 256
 PART_TOKENS = 1 << 21
 END = 2
 MAGIC = b"TRS1"
-KNOWN_WORDS = 1_000_000
+BATCH_BYTES = 24_000_000
+#: Words that are handed to the library as one text.
+TOGETHER = 20
 #: A text of which every run of white space is one space or line break between two other characters is cut there; its
-#: pieces are tokenized on their own just as in the whole text.
-_ODD = re.compile(r"^\s|\s$|\s\s|[^\S \n]")
-#: Such words tokenize next to each other as on their own.
-_RUN = re.compile(r"[ \n]\S+")
+#: pieces are tokenized on their own just as in the whole text. All white space but these two makes a text odd.
+_ODD = r"[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\A[ \n]|[ \n]\z|[ \n][ \n]"
+#: Stands before the first piece of a text; texts that have it are odd.
+_FIRST = "\x00"
 
 
 class Ids:
-    """Ids of whole texts, by their words; the first KNOWN_WORDS words are kept for the life of the process."""
-
-    _of: dict[int, Ids] = {}
-
-    @classmethod
-    def of_process(cls, contents: str) -> Ids:
-        key = zlib.crc32(contents.encode())
-        if key not in cls._of:
-            cls._of[key] = cls(contents)
-        return cls._of[key]
+    """Ids of whole texts by their distinct pieces: each piece of a batch is encoded once."""
 
     def __init__(self, contents: str) -> None:
         self.of = tokenizer(contents)
@@ -60,79 +54,98 @@ class Ids:
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)
         for piece, i in vocab.items():
             self.size[i] = len(piece)  # the vocabulary has a character for each byte
-        self.known: dict[str, bytes] = {}
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids (32 bits each) of words, each with the space or line break before it."""
-        known = self.known
-        new = [w for w in words if w not in known]
-        runs = [w for w in new if _RUN.fullmatch(w)]
-        alone = [w for w in new if not _RUN.fullmatch(w)]
-        got = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(alone, self.of.encode_batch_fast(alone, add_special_tokens=False), strict=True)} if alone else {}
-        for s in range(0, len(runs), 50_000):
-            parts = [runs[k : k + 500] for k in range(s, min(s + 50_000, len(runs)), 500)]
-            for part, e in zip(parts, self.of.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(w.encode("utf-8", "surrogatepass")) for w in part]), "left") + 1
-                raw = ids.tobytes()
-                got.update(zip(part, (raw[4 * i : 4 * j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
-        known.update([(w, x) for w, x in got.items() if len(w) <= 64][: max(0, KNOWN_WORDS - len(known))])
-        return [got[w] if w in got else known[w] for w in words]
-
-    def texts(self, texts: list[str]) -> list[np.ndarray]:
-        codes: defaultdict = defaultdict(count().__next__)
-        rows = [list(map(codes.__getitem__, pieces(t))) for t in texts]
-        ids = self.words(list(codes))
-        return [np.frombuffer(b"".join([ids[c] for c in row]), "<u4") for row in rows]
-
-
-def pieces(text: str) -> list[str]:
-    """Parts of text that tokenize independently; they join to the text."""
-    if not text:
-        return []
-    if _ODD.search(text):
-        return [text]
-    first, *rest = text.replace("\n", " \n").split(" ")
-    return [first, *[w if w[0] == "\n" else " " + w for w in rest]]
-
-
-def _held(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
-    ids, texts, size = [], [], 0
-    for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t or "")
-            size += len(texts[-1])
-            if size >= most:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
-def _counted(contents) -> Callable:
+        self.kind = np.dtype(">u2" if len(self.size) <= 1 << 16 else ">u4")
+
+    def _encoded(self, texts: list[str]) -> np.ndarray:
+        """Ids of texts one after another."""
+        found = [e.ids for e in self.of.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((i for ids in found for i in ids), np.uint32, sum(map(len, found)))
+
+    def pieces(self, names: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another, and where each piece's ids end."""
+        first = pc.starts_with(names, _FIRST).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(~first), np.flatnonzero(first)])
+        rest = int((~first).sum())
+        words = names.take(pa.array(order)).to_pylist()
+        # a piece starts with its line break, or with the space that split it off; the first pieces of texts stand alone
+        runs = [w if w[:1] == "\n" else " " + w for w in words[:rest]]
+        alone = [w[1:] for w in words[rest:]]
+        ids = self._encoded(["".join(runs[k : k + TOGETHER]) for k in range(0, rest, TOGETHER)] + alone)
+        size = np.fromiter((len(w.encode()) for w in runs + alone), np.int64, len(words))
+        ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(size), "right")
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return ids, np.stack([begins[back], ends[back]])
+
+    def texts(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and the number of each text's; null is empty."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(odd)
+        plain = np.flatnonzero(~odd & (pc.binary_length(texts).to_numpy() > 0))
+        n = np.zeros(len(texts), np.int64)
+        ids, spans = np.zeros(0, np.uint32), np.zeros((2, 0), np.int64)
+        codes = texts_of = np.zeros(0, np.int64)
+        if len(plain):
+            marked = pc.binary_join_element_wise(_FIRST, texts.take(pa.array(plain)), "")
+            parts = pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
+            coded = parts.flatten().dictionary_encode()
+            ids, spans = self.pieces(coded.dictionary)
+            codes = coded.indices.to_numpy().astype(np.int64)
+            texts_of = np.repeat(plain, np.diff(parts.offsets.to_numpy()))
+        if len(whole):
+            found = [np.array(e.ids, np.uint32) for e in self.of.encode_batch_fast(texts.take(pa.array(whole)).to_pylist(), add_special_tokens=False)]
+            ends = len(ids) + np.cumsum([len(x) for x in found])
+            codes = np.concatenate([codes, spans.shape[1] + np.arange(len(whole))])
+            texts_of = np.concatenate([texts_of, whole])
+            spans = np.concatenate([spans, np.stack([ends - [len(x) for x in found], ends])], axis=1)
+            ids = np.concatenate([ids, *found])
+            order = np.argsort(texts_of, kind="stable")
+            codes, texts_of = codes[order], texts_of[order]
+        size = (spans[1] - spans[0])[codes]
+        np.add.at(n, texts_of, size)
+        before = np.cumsum(size) - size
+        return ids[np.repeat(spans[0][codes] - before, size) + np.arange(size.sum())], n
+
+
+def _binary(ids: np.ndarray, n: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(n * ids.dtype.itemsize)])
+    if offsets[-1] >= 1 << 31:
+        return pa.array([x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])], pa.binary())
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids.tobytes())])
+
+
+TOKENS = "id bigint, ids binary, counts binary"
+
+
+def _tokenized(contents) -> Callable:
+    """(id, ids) of each text, and one row with the counts of all ids of the task's texts, the end's included."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, total, n = Ids.of_process(contents.value), np.zeros(1, np.int64), 0
-        for _, texts in _held(batches):
-            words: Counter = Counter()
-            for t in texts:
-                words.update(pieces(t))
-            n += len(texts)
-            found = of.words(list(words))
-            size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-            add = np.bincount(np.frombuffer(b"".join(found), "<u4"), np.repeat(np.fromiter(words.values(), np.int64, len(words)), size)).astype(np.int64)
-            if len(add) > len(total):
-                total, add = add, total
-            total[: len(add)] += add
-        if n:
-            total = np.pad(total, (0, max(0, END + 1 - len(total))))
-            total[END] += n
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["token", "n"])
+        of = Ids(contents.value)
+        total, texts = np.zeros(max(len(of.size), END + 1), np.int64), 0
+        for held in runs(batches, 1, BATCH_BYTES):
+            ids, n = of.texts(held.column(1).combine_chunks())
+            total += np.bincount(ids, minlength=len(total))
+            texts += len(n)
+            yield pa.RecordBatch.from_arrays([held.column(0).combine_chunks(), _binary(ids.astype(of.kind), n), pa.nulls(len(n), pa.binary())], ["id", "ids", "counts"])
+        total[END] += texts
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["id", "ids", "counts"])
 
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0, np.int64)
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            one = np.frombuffer(x, "<i8")
+            total = one.copy() if not len(total) else total + one
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["token", "n"])
+
+
 def frequencies(counts: dict[int, int], size: int, scale: int = SCALE) -> np.ndarray:
     """Counts to frequencies that sum to 2^scale, at least 1 for each id that occurs."""
     c = np.zeros(size, np.int64)
@@ -245,11 +258,11 @@ class Coder:
 FILE = "file int, part int, before bigint, n_tokens bigint, ids array<bigint>, lengths array<bigint>, payload binary"
 
 
-def _written(contents, freq) -> Callable:
+def _written(freq, kind: str, part_tokens: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        file, of, coder = TaskContext.get().partitionId(), Ids.of_process(contents.value), Coder(freq.value)
+        file, coder = TaskContext.get().partitionId(), Coder(freq.value)
         part = before = 0
 
         def row(ids: list, arrays: list[np.ndarray], n: int) -> pa.RecordBatch:
@@ -260,12 +273,12 @@ def _written(contents, freq) -> Callable:
         ids: list = []
         arrays: list[np.ndarray] = []
         n = 0
-        for got, texts in _held(batches):
-            for i, a in zip(got, of.texts(texts), strict=True):
+        for b in batches:
+            for i, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(i)
-                arrays.append(np.append(a, np.uint32(END)))
+                arrays.append(np.append(np.frombuffer(a, kind).astype(np.uint32), np.uint32(END)))
                 n += len(arrays[-1])
-                if n >= PART_TOKENS:
+                if n >= part_tokens:
                     yield row(ids, arrays, n)
                     part, before, ids, arrays, n = part + 1, before + n, [], [], 0
         if ids:
@@ -288,28 +301,33 @@ def _read(freq) -> Callable:
     return run
 
 
-def token_counts(docs: DataFrame, contents, id_col: str = "doc_id", text_col: str = "text") -> dict[int, int]:
-    rows = docs.select(F.col(id_col).cast("bigint"), text_col)
-    counts = rows.mapInArrow(_counted(contents), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    return {r["token"]: r["n"] for r in counts.collect()}  # as long as the vocabulary at most
-
+def write_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contents: str | None = None, path: str | None = None, part_tokens: int = PART_TOKENS) -> str:
+    """Write the ids of all texts in ascending order of id, and the frequency table that decodes them; returns the folder.
 
-def write_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contents: str | None = None) -> tuple[DataFrame, np.ndarray]:
-    """The files (schema FILE) of all texts in ascending order of id, and the frequency table that decodes them.
-
-    Null and empty texts have the end id only; null ids come first; rows of one id stand by text; an empty table makes no parts.
+    Null and empty texts have the end id only; null ids come first; rows of one id stand by their token ids; an empty table makes no parts.
     """
     spark = docs.sparkSession
     contents = contents or vocabulary("byte_bpe_50k.json")
+    path = path or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     shared = spark.sparkContext.broadcast(contents)
-    freq = frequencies(token_counts(docs, shared, id_col, text_col), max(END + 1, tokenizer(contents).get_vocab_size(with_added_tokens=True)))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
-    return stored(rows.mapInArrow(_written(shared, spark.sparkContext.broadcast(freq)), FILE), "token-files", compression="none"), freq
-
-
-def read_files(files: DataFrame, freq: np.ndarray) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) for each text, decoded from the files."""
-    spark = files.sparkSession
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    tokens = stored(rows.mapInArrow(_tokenized(shared), TOKENS), "token-ids")
+    counts = tokens.where("counts is not null").select("counts").mapInArrow(_counted, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    of = Ids(contents)
+    freq = frequencies({r["token"]: r["n"] for r in counts.collect()}, max(END + 1, len(of.size)))  # as long as the vocabulary at most
+    spark.createDataFrame([(int(k), int(freq[k])) for k in np.flatnonzero(freq)], "token bigint, frequency bigint").coalesce(1).write.parquet(f"{path}/frequencies")
+    ordered = tokens.where("ids is not null").select("id", "ids").repartitionByRange("id").sortWithinPartitions("id", "ids")
+    ordered.mapInArrow(_written(spark.sparkContext.broadcast(freq), of.kind.str, part_tokens), FILE).write.option("compression", "none").parquet(f"{path}/parts")
+    return path
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(id, start, n_tokens, ids_crc32) for each text, decoded from the files of a folder."""
+    table = {r["token"]: r["frequency"] for r in spark.read.schema("token bigint, frequency bigint").parquet(f"{path}/frequencies").collect()}  # as long as the vocabulary at most
+    freq = np.zeros(max(table, default=-1) + 1, np.int64)
+    for k, n in table.items():
+        freq[k] = n
+    files = spark.read.schema(FILE).parquet(f"{path}/parts")
     totals = sorted((r[0], r[1]) for r in files.groupBy("file").agg(F.sum("n_tokens")).collect())  # one row a file
     starts, n = [], 0
     for file, tokens in totals:
@@ -321,5 +339,4 @@ def read_files(files: DataFrame, freq: np.ndarray) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, freq = write_files(documents(spark, sf_dir))
-    return read_files(files, freq).withColumnRenamed("id", "doc_id")
+    return read_files(spark, write_files(documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")

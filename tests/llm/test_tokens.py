@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyframe.llm import bpe, rans
@@ -45,16 +46,39 @@ def test_decoding_by_the_piece_table(spark):
 
 def test_token_files_hold_what_the_library_gives(spark):
     t = rans.tokenizer(bpe.vocabulary("byte_bpe_50k.json"))
-    files, freq = rans.write_files(frame(spark, ROWS))
-    got = [tuple(x) for x in rans.read_files(files, freq).orderBy("start").collect()]
+    got = [tuple(x) for x in rans.read_files(spark, rans.write_files(frame(spark, ROWS))).orderBy("start").collect()]
     start, want = 0, []
     for i, x in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert got == want
-    files, freq = rans.write_files(frame(spark, []))
-    assert files.count() == 0 and rans.read_files(files, freq).collect() == []
+    empty = rans.write_files(frame(spark, []))
+    assert spark.read.parquet(f"{empty}/parts").count() == 0 and rans.read_files(spark, empty).collect() == []
+
+
+def test_many_parts_and_a_long_text(spark):
+    t = rans.tokenizer(bpe.vocabulary("byte_bpe_50k.json"))
+    r = random.Random(8)
+    rows = [(k, " ".join(r.choices(["the", "Theory,", "x.", "zz9", "naïve", "don't", "a\nb"], k=r.randint(0, 60)))) for k in range(300)]
+    rows.append((1000, " ".join(f"w{k}" for k in range(100_000))))
+    path = rans.write_files(frame(spark, rows), part_tokens=500)
+    assert spark.read.parquet(f"{path}/parts").agg({"part": "max"}).first()[0] > 2
+    got = {x["id"]: (x["start"], x["n_tokens"], x["ids_crc32"]) for x in rans.read_files(spark, path).collect()}
+    start = 0
+    for i, x in rows:
+        ids = np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4")
+        assert got[i] == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_ids_of_odd_texts_equal_the_library():
+    of, r = rans.Ids(bpe.vocabulary("byte_bpe_50k.json")), random.Random(9)
+    marks = ["a", "Be", "don't", "12", ",", "!!", " ", " ", " ", "\n", "\t", "\r", "\x00", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "é", "中", "😀", "<|endoftext|>", "'s"]
+    texts = [None, "", *TEXTS, *["".join(r.choices(marks, k=r.randint(0, 30))) for _ in range(4000)]]
+    ids, n = of.texts(pa.array(texts, pa.string()))
+    for x, got in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert got.tolist() == of.of.encode(x or "", add_special_tokens=False).ids, x
 
 
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, rans.STEPS * rans.LANES, rans.BLOCK - 1, rans.BLOCK, 3 * rans.BLOCK + 17])
