@@ -179,7 +179,8 @@ _FACTS = "f AS (SELECT o_orderkey, o_orderstatus, o_totalprice, CASE WHEN o_orde
 
 
 def rules_kleene(spark, d):
-    return _facts(spark, d).select("o_orderkey", L.outcome(RULE["applies"], RULE["condition"], RULE["expected"]).alias("outcome"))
+    facts = _facts(spark, d)
+    return facts.select("o_orderkey", L.outcome(facts, RULE["applies"], RULE["condition"], RULE["expected"]).alias("outcome"))
 
 
 def rule_outcomes(spark, d):
@@ -193,7 +194,7 @@ TOTAL = {"sum": [{"filter": [{"var": "lines"}, {">": [{"var": "q"}, 40]}]}, {"va
 
 def rules_foreach(spark, d):
     line = W.load(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").alias("q"), F.when(F.col("l_linestatus") == "F", F.col("l_discount")).alias("x"))).alias("lines"))
-    return line.select("l_orderkey", L.compile_rule(EACH).alias("some"), L.compile_rule(EVERY).alias("every"), L.compile_rule(TOTAL).alias("total"), L.compile_rule({"count": [{"var": "lines"}]}).cast("bigint").alias("n"))
+    return line.select("l_orderkey", L.compile_rule(EACH, line).alias("some"), L.compile_rule(EVERY, line).alias("every"), L.compile_rule(TOTAL, line).alias("total"), L.compile_rule({"count": [{"var": "lines"}]}, line).alias("n"))
 
 
 def boxes(spark, d):

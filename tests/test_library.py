@@ -18,7 +18,7 @@ def one(spark, column, ddl="x int", row=(1,)):
 
 @pytest.mark.parametrize(
     ("raw", "want"),
-    [("1 079,9", 1079.9), ("−12", -12.0), ("12.", 12.0), ("ИТОГО:", None), ("0,14/1 401", None), ("", None), (None, None), ("+3,5", 3.5)],
+    [("23 450,75", 23450.75), ("−7", -7.0), ("88.", 88.0), ("нет данных", None), ("1/2", None), ("", None), (None, None), ("+0,25", 0.25)],
 )
 def test_parse_number(spark, raw, want):
     assert one(spark, text.parse_number(F.lit(raw).cast("string"))) == want
@@ -29,8 +29,8 @@ def test_units_marks_and_dates(spark):
     assert one(spark, text.norm_unit(F.lit("куб. м"))) == "м³"
     assert one(spark, text.norm_unit(F.lit("Га"))) == "га"
     assert one(spark, text.norm_unit(F.lit("фут"))) is None
-    assert one(spark, text.expand_mark(F.lit("В2.7,8,9 −950 м³/ч"))) == ["В2.7", "В2.8", "В2.9"]
-    assert one(spark, text.expand_mark(F.lit("П17.1, 17.2"))) == ["П17.1", "П17.2"]
+    assert one(spark, text.expand_mark(F.lit("К4.1,3,6 (подача)"))) == ["К4.1", "К4.3", "К4.6"]
+    assert one(spark, text.expand_mark(F.lit("Т9.5, 9.6"))) == ["Т9.5", "Т9.6"]
     assert one(spark, text.expand_mark(F.lit("B2.1"))) == ["В2.1"]
     assert one(spark, text.expand_mark(F.lit(""))) == []
     assert str(one(spark, text.parse_date(F.lit("05.03.2021")))) == "2021-03-05"
@@ -59,29 +59,64 @@ T, N, U = True, False, None
 
 @pytest.mark.parametrize(("a", "b"), [(a, b) for a in (T, N, U) for b in (T, N, U)])
 def test_kleene(spark, a, b):
-    got = spark.createDataFrame([(a, b)], "a boolean, b boolean").select(rules.compile_rule({"and": [{"var": "a"}, {"var": "b"}]}), rules.compile_rule({"or": [{"var": "a"}, {"var": "b"}]})).first()
+    rows = spark.createDataFrame([(a, b)], "a boolean, b boolean")
+    got = rows.select(rules.compile_rule({"and": [{"var": "a"}, {"var": "b"}]}, rows), rules.compile_rule({"or": [{"var": "a"}, {"var": "b"}]}, rows)).first()
     assert tuple(got) == (N if N in (a, b) else U if U in (a, b) else T, T if T in (a, b) else U if U in (a, b) else N)
 
 
-def test_rules_where_sql_differs(spark):
-    row = spark.createDataFrame([(None, [], [1, None, 3], [1, 2], 0)], "u boolean, e array<int>, n array<int>, k array<int>, z int")
-    check = lambda rule: row.select(rules.compile_rule(rule).alias("v")).first()[0]
+@pytest.fixture(scope="module")
+def check(spark):
+    row = spark.createDataFrame([(None, [], [1, None, 3], [1, 2], 0, "абв", "", "2,5", 0.1, 0.2, {"k": [{"x": 1.0}, {"x": 2.0}]}, ["p", "q"])], "u boolean, e array<int>, n array<int>, k array<int>, z int, t string, b string, d string, f double, g double, r struct<k: array<struct<x: double>>>, w array<string>")
+    return lambda rule: row.select(rules.compile_rule(rule, row).alias("v")).first()[0]
+
+
+def test_rules_where_sql_differs(check):
     assert check({"if": [{"var": "u"}, 1, 2]}) is None
     assert check({"if": [{"==": [{"var": "z"}, 0]}, 1, 2]}) == 1
     assert check({"all": [{"var": "e"}, {">": [{"var": ""}, 0]}]}) is False
     assert check({"none": [{"var": "e"}, {">": [{"var": ""}, 0]}]}) is True
     assert check({"max": [{"var": "n"}]}) is None
-    assert check({"max": [{"var": "k"}]}) == 2
+    assert check({"max": [{"var": "k"}]}) is None
+    assert check({"max": [3, {"var": "k.1"}]}) == 3.0
     assert check({"/": [1, {"var": "z"}]}) is None
     assert check({"round": [2.5]}) == 2
     assert check({"sum": [{"var": "n"}]}) is None
     assert check({"count": [{"var": "k"}, {">": [{"var": ""}, 1]}]}) == 1
-    assert check({"missing": ["u", "z"]}) == ["u"]
+    assert check({"missing": ["u", "z", "nowhere.x"]}) == ["u", "nowhere.x"]
     assert check({"in": [2, [1, 2]]}) is True
     assert check({"filter": [{"var": "n"}, {">": [{"var": ""}, 1]}]}) is None
-    with pytest.raises(ValueError, match="unknown operator"):
-        rules.compile_rule({"frob": [1]})
-    assert rules.validate({"var": []}) and not rules.validate({"and": [True]})
+
+
+@pytest.mark.parametrize(
+    ("rule", "want"),
+    [
+        ({"!!": [{"var": "t"}]}, T), ({"!!": [{"var": "b"}]}, N), ({"!!": [{"var": "k"}]}, T), ({"!!": [{"var": "e"}]}, N), ({"!!": [{"var": "absent"}]}, U), ({"!!": [{"var": "r"}]}, T),
+        ({"!": [0]}, T), ({"and": [1, {"var": "t"}]}, T), ({"or": [0, {"var": "absent"}]}, U), ({"or": [0, {"var": "absent"}, {"var": "w"}]}, T),
+        ({"in": [2, {"var": "k"}]}, T), ({"in": [2.0, {"var": "n"}]}, N), ({"in": ["p", {"var": "w"}]}, T), ({"in": [1, {"var": "t"}]}, N), ({"in": ["б", {"var": "t"}]}, T), ({"in": [1, {"var": "z"}]}, U), ({"in": [1, ["x", 1]]}, T),
+        ({"merge": [1, {"var": "k"}, {"var": "absent"}]}, [1, 1, 2]), ({"merge": []}, []), ({"merge": [{"var": "w"}, "x"]}, ["p", "q", "x"]),
+        ({"==": [{"var": "t"}, 1]}, N), ({"==": [{"+": [{"var": "f"}, {"var": "g"}]}, 0.3]}, T), ({"==": [{"+": [0.1, {"var": "g"}]}, {"+": [{"var": "f"}, 0.2]}]}, T), ({"==": [1e12, 1e12 + 0.5]}, N), ({"!=": [{"var": "absent"}, 1]}, U), ({"==": [True, 1]}, T),
+        ({"<": [{"var": "d"}, 3]}, T), ({"<": [{"var": "t"}, 3]}, U), ({"<": [1, {"var": "k.1"}, 3]}, T), ({"<": ["a", "b"]}, T), ({">": [{"var": "absent"}, 0]}, U),
+        ({"var": ["absent", 7]}, 7), ({"var": "k.-1"}, 2), ({"var": "k.9"}, None), ({"var": "r.k.1.x"}, 2.0), ({"missing_some": [1, ["z", "absent"]]}, []), ({"missing_some": [2, ["z", "absent"]]}, ["absent"]),
+        ({"some": [{"var": "n"}, {">": [{"var": ""}, 2]}]}, T), ({"some": [{"var": "n"}, {">": [{"var": ""}, 5]}]}, U), ({"all": [{"var": "r.k"}, {"<": [{"var": "x"}, {"var": "^g"}]}]}, N), ({"some": [{"var": "z"}, True]}, U),
+        ({"map": [{"var": "r.k"}, {"*": [{"var": "x"}, 2]}]}, [2.0, 4.0]), ({"sum": [{"var": "r.k"}, {"var": "x"}]}, 3.0), ({"+": [1e16, 1.0, -1e16]}, 1.0), ({"-": [{"var": "d"}]}, -2.5), ({"min": [1, {"var": "absent"}]}, None), ({"round": [1234.567, -2]}, 1200.0), ({"abs": [-3]}, 3.0),
+    ],
+)
+def test_rule_language(check, rule, want):
+    assert check(rule) == want
+
+
+def test_rules_are_checked():
+    assert rules.validate({"var": [1, 2, 3]}) and not rules.validate({"and": [True]}) and not rules.validate({"var": []})
+    assert rules.validate({"frob": [1]}) == ["/: unknown operator frob"]
+    assert rules.validate({"and": [1, {"==": [1]}]}) == ["/and/1: == with 1 arguments"]
+    assert rules.validate({"a": 1, "b": 2}) == ["/: an operation has one key"]
+    deep = True
+    for _ in range(60):
+        deep = {"!": [deep]}
+    assert "deeper than 48" in rules.validate(deep)[0]
+    assert "more than 20000" in rules.validate([0] * 20_001)[0]
+    with pytest.raises(ValueError, match="in one place"):
+        rules.compile_rule({"if": [True, 1, "x"]}, rules.T.StructType([]))
 
 
 def test_comparisons(spark):
