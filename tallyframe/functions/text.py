@@ -110,11 +110,11 @@ def normalize_location(c: Column) -> Column:
 
 
 def room_list(c: Column) -> Column:
-    """«267, 270-272» as numbers; ranges of up to 100 rooms."""
+    """«267, 270-272» as numbers; a range whose end is before its begin is its begin."""
     parts = F.regexp_extract_all(F.translate(c, "–—−", "---"), F.lit(r"[0-9]+(?:\s*-\s*[0-9]+)?"), F.lit(0))
     low = lambda p: F.regexp_extract(p, r"^([0-9]+)", 1).cast("int")
     high = lambda p: F.coalesce(F.regexp_extract(p, r"-\s*([0-9]+)$", 1).try_cast("int"), low(p))
-    return F.flatten(F.transform(parts, lambda p: F.when((high(p) >= low(p)) & (high(p) - low(p) < 100), F.sequence(low(p), high(p))).otherwise(F.array(low(p)))))
+    return F.flatten(F.transform(parts, lambda p: F.when(high(p) >= low(p), F.sequence(low(p), high(p))).otherwise(F.array(low(p)))))
 
 
 def sentences(c: Column) -> Column:
@@ -147,6 +147,12 @@ def script_shares(c: Column) -> Column:
     return F.struct((F.regexp_count(c, F.lit("[А-Яа-яЁё]")) / n).alias("cyrillic"), (F.regexp_count(c, F.lit("[A-Za-z]")) / n).alias("latin"), (F.regexp_count(c, F.lit("�")) / n).alias("garbled"))
 
 
+def text_statistics(c: Column) -> Column:
+    """struct of characters, Latin letters, digits and lines; zeros and one line for an empty text."""
+    count = lambda p: F.regexp_count(c, F.lit(p)).cast("bigint")
+    return F.struct(F.length(c).cast("bigint").alias("n"), count("[A-Za-z]").alias("latin"), count("[0-9]").alias("digits"), F.size(F.split(c, "\n")).cast("bigint").alias("lines"))
+
+
 def magic(content: Column) -> Column:
     """Media type by first bytes. Signatures."""
     head = F.hex(F.substring(content, 1, 8))

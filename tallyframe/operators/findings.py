@@ -76,7 +76,9 @@ def hedge_budget(groups: DataFrame, object_col: str, probability: str, order: st
 
 def merge_suspicions(rows: DataFrame, keys: list[str], evidence: str, confidence: str, low: str, high: str) -> DataFrame:
     """Suspicions of one key become one: greatest confidence, union of evidence, widest range."""
-    return rows.groupBy(*keys).agg(F.max(confidence).alias(confidence), F.array_sort(F.array_distinct(F.flatten(F.collect_list(evidence)))).alias(evidence), F.min(low).alias(low), F.max(high).alias(high), F.count("*").alias("merged"))
+    merged = rows.groupBy(*keys).agg(F.max(confidence).alias(confidence), F.min(low).alias(low), F.max(high).alias(high), F.count("*").alias("merged"))
+    union = rows.select(*keys, F.explode(evidence).alias(evidence)).groupBy(*keys).agg(F.array_sort(F.collect_set(evidence)).alias(evidence))  # a set: repeats go before the shuffle
+    return merged.join(union, keys)
 
 
 def covered(suspicions: DataFrame, findings: DataFrame, keys: list[str], members: str = "members") -> DataFrame:

@@ -8,22 +8,30 @@ from pyspark.sql import functions as F
 
 def words_of(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, word): lower-case runs of letters and digits, with their places."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return texts.select(key, F.posexplode(found).alias("pos", "word"))
+    return texts.select(key, F.posexplode(_found(F.col(text))).alias("pos", "word"))
+
+
+def _found(text: Column, stem: int = 0) -> Column:
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.transform(words, lambda w: F.substring(w, 1, stem)) if stem else words
 
 
 def phrase_hits(texts: DataFrame, phrases: DataFrame, key: str, phrase: str, text: str = "text", stem: int = 0) -> DataFrame:
-    """(phrase, key, hits): places where all words of a phrase stand one after another.
+    """(phrase, key, hits): places where all words of a phrase stand one after another (or words that begin with the same `stem` letters).
 
-    Words of phrases meet words of texts on the word (or on its first `stem` letters), and a hit is a place at which as many words of the phrase meet as it has:
-    an equi join and two grouped counts, whatever the number of phrases. Rare first words keep it small: only words of phrases survive the join.
+    Only the word of a phrase that stands in the fewest texts is looked up; texts that hold it are compared with the whole phrase, place by place. A
+    phrase with a word that stands nowhere is not looked up at all. Phrases without words, null texts and texts without words have no hits.
     """
-    cut = lambda c: F.substring(c, 1, stem) if stem else c
-    own = words_of(phrases, phrase, "text").withColumn("word", cut(F.col("word"))).withColumnRenamed("pos", "_at")
-    sizes = own.groupBy(phrase).agg(F.count("*").alias("_size"))
-    met = words_of(texts, key, text).withColumn("word", cut(F.col("word"))).join(own, "word").withColumn("_start", F.col("pos") - F.col("_at"))
-    runs = met.groupBy(phrase, key, "_start").agg(F.count("*").alias("_n"))
-    return runs.join(sizes, phrase).where("_n = _size").groupBy(phrase, key).agg(F.count("*").alias("hits"))
+    own = phrases.select(phrase, _found(F.col("text"), stem).alias("_words")).where(F.size("_words") > 0).distinct()
+    rows = texts.select(F.col(key).alias("_key"), _found(F.col(text), stem).alias("_text")).where(F.size("_text") > 0).withColumn("_id", F.xxhash64("_text"))
+    seen = rows.select("_key", "_id", F.explode(F.array_distinct("_text")).alias("_word"))
+    parts = own.select(phrase, "_words", F.explode(F.array_distinct("_words")).alias("_word"))
+    files = seen.join(parts.select("_word").distinct(), "_word").groupBy("_word").agg(F.count("*").alias("_n"))
+    rarest = parts.join(files, "_word", "left").groupBy(phrase, "_words").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_word").alias("word"))).alias("_r")).where("_r.n > 0")
+    pairs = seen.join(rarest.select(phrase, "_words", F.col("_r.word").alias("_word")), "_word").select(F.col("_key").alias("_k"), F.col("_id").alias("_i"), phrase, "_words").distinct()
+    met = rows.join(pairs, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_id") == F.col("_i"))).where(F.size("_text") >= F.size("_words"))
+    places = F.filter(F.sequence(F.lit(1), F.size("_text") - F.size("_words") + 1), lambda i: F.slice("_text", i, F.size("_words")) == F.col("_words"))
+    return met.select(phrase, F.col("_key").alias(key), F.size(places).cast("bigint").alias("hits")).where("hits > 0").groupBy(phrase, key).agg(F.sum("hits").alias("hits"))
 
 
 def presence(hits: Column, pages_read: Column, pages: Column) -> Column:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def exact_duplicates(files: DataFrame, key: str = "sha256", file: str = "file_id") -> DataFrame:
-    """Groups of files of equal content. Null contents are no duplicates."""
-    return files.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(file)).alias("files"), F.count("*").alias("n")).where("n > 1")
+    """(key, file, first_file, n) of each file whose content others have. Null contents are no duplicates. Groups are counted before files meet them, and no group is gathered."""
+    groups = files.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(file).alias("first_file"), F.count("*").alias("n")).where("n > 1")
+    return files.select(key, file).join(groups, key)
 
 
 def near_duplicates(files: DataFrame, by: list[str], key: str = "sha256", file: str = "file_id") -> DataFrame:
@@ -96,6 +97,6 @@ def strict_majority(hits: DataFrame, key: str, target: str, least: int = 2) -> D
 
 
 def multiset_hash(rows: DataFrame, columns: list[Column]) -> Column:
-    """Order-independent hash of a group's rows: sum of 64 bits of each row's sha256, so partial sums combine and nothing is collected."""
+    """Order-independent hash of a group's rows, as digits: sum of 64 bits of each row's sha256, so partial sums combine, nothing is collected and 10^18 rows fit."""
     digest = F.sha2(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns]), 256)
-    return F.sum(F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint"))
+    return F.sum(F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")).cast("string")

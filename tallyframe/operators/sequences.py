@@ -90,6 +90,18 @@ def queue_order(rows: DataFrame, partition: list[str], order: list[Column], name
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
 
 
+def global_order(rows: DataFrame, key: Column, order: list[Column], name: str = "place") -> DataFrame:
+    """The place of each row in the order of `key`, and of `order` among rows of one key, without gathering all rows in one task.
+
+    Rows are ranked within their key; only the keys with their counts are ranked among all, so a key should have far fewer values than there are rows.
+    """
+    keyed = rows.withColumn("_key", key)
+    counts = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
+    before = counts.select("_key", (F.sum("_n").over(Window.orderBy("_key")) - F.col("_n")).alias("_before"))
+    ranked = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
+    return ranked.join(before, "_key").withColumn(name, (F.col("_before") + F.col("_k")).cast("bigint")).drop("_key", "_k", "_before")
+
+
 def next_pending(queue: DataFrame, partition: list[str], place: str, pending: Column) -> DataFrame:
     """First pending place after each row, around the end of the queue: adds `next_place`."""
     w = Window.partitionBy(*partition).orderBy(place)

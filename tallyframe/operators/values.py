@@ -27,14 +27,27 @@ def without_other_subject(values: DataFrame, pattern: str, text_col: str = "cont
 
 
 def best_per_key(values: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key under a total order."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return values.withColumn("_n", n).where("_n = 1").drop("_n")
+    """The first row of each key under a total (ascending) order: one grouped minimum, which combines before the shuffle."""
+    rest = [c for c in values.columns if c not in keys]
+    return values.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")).select(*keys, "_first.*").select(*values.columns)
+
+
+def best_pairs(values: DataFrame, keys: list[str], pairs: list[tuple[str, str]], order: list[Column], stage_col: str = "stage", carry: tuple[str, ...] = ("value",)) -> DataFrame:
+    """The best row of each stage beside that of another, for each (expected, actual) pair of stages: one grouped minimum a stage, without a sort or a self-join."""
+    stages = list(dict.fromkeys(s for p in pairs for s in p))
+    wide = values.groupBy(*keys).agg(*[F.min_by(F.struct(*carry), F.when(F.col(stage_col) == s, F.struct(*order))).alias(f"_{i}") for i, s in enumerate(stages)])
+    at = lambda s: F.col(f"_{stages.index(s)}")
+    both = F.array_compact(F.array(*[F.when(at(a).isNotNull() & at(b).isNotNull(), F.struct(F.lit(f"{a}_{b}").alias("axis"), at(a).alias("e"), at(b).alias("a"))) for a, b in pairs]))
+    return wide.select(*keys, F.explode(both).alias("_p")).select(*keys, "_p.axis", *[F.col(f"_p.e.{c}").alias(f"expected_{c}") for c in carry], *[F.col(f"_p.a.{c}").alias(f"actual_{c}") for c in carry])
+
 
+def candidate_lists(values: DataFrame, keys: list[str], order: list[Column], carry: tuple[str, ...] = ("value", "confidence"), most: int = 8) -> DataFrame:
+    """The `most` first readings of each key under a total order, most confident first as the caller orders them, as an array of structs (the comparison's own bound).
 
-def candidate_lists(values: DataFrame, keys: list[str], value_col: str, most: int = 8) -> DataFrame:
-    """Distinct readings of each key, ascending, at most `most` (the comparison's own bound), as an array."""
-    return values.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_set(value_col)), 1, most).alias("candidates"))
+    Rows beyond the bound are dropped before the shuffle, as far as Spark can tell.
+    """
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return values.withColumn("_n", n).where(F.col("_n") <= most).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", *carry))).alias("candidates"))
 
 
 def stage_pairs(values: DataFrame, keys: list[str], pairs: list[tuple[str, str]], stage_col: str = "stage", carry: tuple[str, ...] = ("value",)) -> DataFrame:
@@ -67,17 +80,21 @@ def outside_bounds(value: Column, low: Column, high: Column) -> Column:
     return F.when(value.isNull() | (low.isNull() & high.isNull()), "ABSTAIN").when(beyond, "OUTSIDE_BOUNDS").otherwise("WITHIN_BOUNDS")
 
 
-def compare_sets(values: DataFrame, keys: list[str], pairs: list[tuple[str, str]], value_col: str = "value", most: int = 8, relative: float = 0.0, stage_col: str = "stage") -> DataFrame:
-    """Set-valued comparison: EQUAL if any readings agree, else the closest pair decides.
+def compare_sets(values: DataFrame, keys: list[str], pairs: list[tuple[str, str]], order: list[Column], most: int = 8, relative: float = 0.0, stage_col: str = "stage") -> DataFrame:
+    """Set-valued comparison: EQUAL if any readings agree, else an IMPROVEMENT, and a VIOLATION only when no pair agrees; of one result the closest pair, then the surest.
 
-    At most `most` distinct readings a side stand against each other (the bound is the operator's own), so a key makes most * most pairs at most.
+    The `most` most confident readings a side stand against each other (the bound is the operator's own), so a key makes most * most pairs at most.
     """
-    lists = candidate_lists(values, [*keys, stage_col], value_col, most).withColumnRenamed("candidates", "value")
+    lists = candidate_lists(values, [*keys, stage_col], order, most=most).withColumnRenamed("candidates", "value")
     both = stage_pairs(lists, keys, pairs, stage_col)
-    pairs_of = F.flatten(F.transform("expected_value", lambda e: F.transform("actual_value", lambda a: F.struct(F.abs(a - e).alias("delta"), e.alias("expected"), a.alias("actual")))))
-    best = F.array_min(F.transform(pairs_of, lambda p: F.struct((p["delta"] > F.abs(p["expected"]) * relative).alias("apart"), p["delta"].alias("delta"), p["expected"].alias("expected"), p["actual"].alias("actual"))))
-    out = both.withColumn("_best", best).select(*keys, "axis", F.size("expected_value").alias("n_expected"), F.size("actual_value").alias("n_actual"), F.col("_best.expected").alias("expected"), F.col("_best.actual").alias("actual"))
-    return out.withColumn("result", pairwise_delta(F.col("expected"), F.col("actual"), relative=relative))
+
+    def pair(e: Column, a: Column) -> Column:
+        result = pairwise_delta(e["value"], a["value"], relative=relative)
+        rank = F.when(result == "EQUAL", 0).when(result == "IMPROVEMENT", 1).otherwise(2)
+        return F.struct(rank.alias("rank"), F.abs(a["value"] - e["value"]).alias("delta"), (-F.least(e["confidence"], a["confidence"])).alias("unsure"), e["_n"].alias("i"), a["_n"].alias("j"), e["value"].alias("expected"), a["value"].alias("actual"), result.alias("result"))
+
+    best = F.array_min(F.flatten(F.transform("expected_value", lambda e: F.transform("actual_value", lambda a: pair(e, a)))))
+    return both.withColumn("_best", best).select(*keys, "axis", F.size("expected_value").alias("n_expected"), F.size("actual_value").alias("n_actual"), "_best.expected", "_best.actual", "_best.result")
 
 
 def dominant(values: DataFrame, keys: list[str], value_col: str = "value", least: int = 3, factor: int = 2) -> DataFrame:
@@ -136,11 +153,12 @@ def stage_extremes(values: DataFrame, keys: list[str], expected: str, actual: st
 
 def tolerance_breaches(values: DataFrame, page: list[str], tolerance: Column, deviation: Column, by: str, least: int = 1, strong: float = 2.0) -> DataFrame:
     """Worst page of each `by`: deviations beyond the page's largest tolerance, where there are `least` or one is `strong` times it."""
-    limits = values.groupBy(by, *page).agg(F.max(tolerance).alias("tolerance"), F.collect_list(deviation).alias("deviations"))
-    pages = limits.select(by, *page, "tolerance", F.size(F.filter("deviations", lambda d: d > F.col("tolerance"))).alias("breaches"), F.array_max("deviations").alias("worst"))
+    limits = values.groupBy(by, *page).agg(F.max(tolerance).alias("tolerance"), F.max(deviation).alias("worst"))
+    counts = values.groupBy(by, *page, deviation.alias("_d")).agg(F.count("*").alias("_k"))
+    pages = counts.join(limits, [by, *page]).groupBy(by, *page, "tolerance", "worst").agg(F.sum(F.when(F.col("_d") > F.col("tolerance"), F.col("_k")).otherwise(0)).alias("breaches"))
     ratio = F.try_divide("worst", "tolerance")
     hits = pages.where(((F.col("breaches") >= least) | (ratio >= strong)) & (F.col("tolerance") > 0)).withColumn("ratio", ratio)
-    return best_per_key(hits, [by], [F.desc("ratio"), *page])
+    return best_per_key(hits, [by], [-F.col("ratio"), *map(F.col, page)])
 
 
 def spec_decrease(items: DataFrame, key: list[str], size_col: str, stage_col: str, expected: str, actual: str) -> DataFrame:

@@ -21,7 +21,8 @@ def compare_values(spark, d):
 
 
 def candidate_sets(spark, d):
-    return V.compare_sets(W.values(spark, d).where("quality = 'OK'"), KEY, W.AXES, relative=0.001)
+    order = [F.desc("confidence"), F.col("file_id"), F.col("page_no"), F.col("value"), F.col("supplier")]
+    return V.compare_sets(W.values(spark, d).where("quality = 'OK'"), KEY, W.AXES, order, relative=0.001)
 
 
 def dedupe_axis(spark, d):
@@ -118,7 +119,7 @@ def hedge_budget(spark, d):
 
 
 def suspicion_merge(spark, d):
-    rows = W.values(spark, d).select("param_code", "location", "confidence", "value", F.array("file_id").alias("files")).where("confidence >= 0.98")
+    rows = W.values(spark, d).select("param_code", "location", "confidence", "value", F.array("file_id").alias("files"))
     out = G.merge_suspicions(rows.withColumn("high", F.col("value")), KEY, "files", "confidence", "value", "high")
     return out.select(*KEY, "confidence", F.col("value").alias("low"), "high", "merged", F.size("files").alias("files"), F.element_at("files", 1).alias("first_file"))
 
@@ -149,11 +150,13 @@ QUERIES = {f.__name__: f for f in (best_values, compare_values, candidate_sets,
 SQL = {
     "best_values": f"WITH {W.BEST} SELECT param_code, location, stage, value, confidence, file_id, page_no FROM best",
     "compare_values": f"WITH {W.BEST} SELECT * FROM diff",
-    "candidate_sets": f"""WITH {W.VALUES}, lists AS (SELECT param_code, location, stage, list_sort(list(DISTINCT value))[1:8] AS c FROM ev WHERE quality = 'OK' GROUP BY ALL),
+    "candidate_sets": f"""WITH {W.VALUES}, r AS (SELECT *, row_number() OVER (PARTITION BY param_code, location, stage ORDER BY confidence DESC, file_id, page_no, value, supplier) AS k FROM ev WHERE quality = 'OK'), c AS (FROM r WHERE k <= 8),
  axes(axis, a, b) AS (VALUES ('PD_RD', 'PD', 'RD'), ('RD_ID', 'RD', 'ID'), ('PD_ID', 'PD', 'ID')),
- p AS (SELECT e.param_code, e.location, axis, len(e.c) AS n_expected, len(f.c) AS n_actual, x.v AS expected, y.v AS actual FROM axes JOIN lists e ON e.stage = a JOIN lists f ON f.stage = b AND f.param_code = e.param_code AND f.location = e.location, unnest(e.c) AS x(v), unnest(f.c) AS y(v)),
- r AS (SELECT *, row_number() OVER (PARTITION BY param_code, location, axis ORDER BY abs(actual - expected) > abs(expected) * 0.001, abs(actual - expected), expected, actual) AS rn FROM p)
- SELECT param_code, location, axis, CAST(n_expected AS INTEGER) AS n_expected, CAST(n_actual AS INTEGER) AS n_actual, expected, actual, CASE WHEN abs(actual - expected) <= abs(expected) * 0.001 THEN 'EQUAL' WHEN actual < expected THEN 'VIOLATION' ELSE 'IMPROVEMENT' END AS result FROM r WHERE rn = 1""",
+ p AS (SELECT e.param_code, e.location, axis, e.value AS expected, f.value AS actual, e.k AS i, f.k AS j, least(e.confidence, f.confidence) AS sure, max(e.k) OVER w AS n_expected, max(f.k) OVER w AS n_actual,
+ CASE WHEN abs(f.value - e.value) <= abs(e.value) * 0.001 THEN 'EQUAL' WHEN f.value < e.value THEN 'VIOLATION' ELSE 'IMPROVEMENT' END AS result
+ FROM axes JOIN c e ON e.stage = a JOIN c f ON f.stage = b AND f.param_code = e.param_code AND f.location = e.location WINDOW w AS (PARTITION BY e.param_code, e.location, axis)),
+ o AS (SELECT *, row_number() OVER (PARTITION BY param_code, location, axis ORDER BY CASE result WHEN 'EQUAL' THEN 0 WHEN 'IMPROVEMENT' THEN 1 ELSE 2 END, abs(actual - expected), -sure, i, j) AS rn FROM p)
+ SELECT param_code, location, axis, CAST(n_expected AS INTEGER) AS n_expected, CAST(n_actual AS INTEGER) AS n_actual, expected, actual, result FROM o WHERE rn = 1""",
     "dedupe_axis": f"""WITH {W.BEST} SELECT param_code, location, axis, confidence, CASE WHEN row_number() OVER (PARTITION BY param_code, location ORDER BY CASE axis WHEN 'PD_ID' THEN 0 WHEN 'RD_ID' THEN 1 ELSE 2 END, confidence DESC) = 1 THEN 'KEPT' ELSE 'CONTEXT' END AS role FROM diff WHERE result = 'VIOLATION'""",
     "precedence_rows": f"""WITH {W.BEST}, {CATALOG}, facts AS (SELECT param_code, list(DISTINCT stage) AS stages, count(*) FILTER (quality = 'OK') AS readable FROM ev GROUP BY 1),
  bad AS (SELECT param_code, count(*) AS violations FROM diff WHERE result = 'VIOLATION' GROUP BY 1),
@@ -191,7 +194,7 @@ SQL = {
  o AS (SELECT room, CAST(sum(greatest(ne - na, 0)) AS BIGINT) AS missing, CAST(sum(greatest(na - ne, 0)) AS BIGINT) AS extra, bool_and(ne <= na OR found) AS moved FROM k GROUP BY 1)
  SELECT room, missing, extra, CASE WHEN missing = 0 AND extra = 0 THEN 'EQUAL' WHEN missing > 0 AND moved THEN 'RELOCATED' WHEN extra = 0 THEN 'MISSING' WHEN missing = 0 THEN 'EXTRA' ELSE 'CHANGED' END AS result FROM o""",
     "anchor_pages": f"WITH {W.VALUES} SELECT param_code, stage, file_id, page_no FROM (SELECT *, row_number() OVER (PARTITION BY param_code, stage ORDER BY CASE quality WHEN 'OK' THEN 0 ELSE 1 END, confidence DESC, page_no, file_id, value, supplier) AS rn FROM ev) WHERE rn = 1",
-    "suspicion_merge": f"WITH {W.VALUES} SELECT param_code, location, max(confidence) AS confidence, min(value) AS low, max(value) AS high, count(*) AS merged, CAST(count(DISTINCT file_id) AS INTEGER) AS files, min(file_id) AS first_file FROM ev WHERE confidence >= 0.98 GROUP BY ALL",
+    "suspicion_merge": f"WITH {W.VALUES} SELECT param_code, location, max(confidence) AS confidence, min(value) AS low, max(value) AS high, count(*) AS merged, CAST(count(DISTINCT file_id) AS INTEGER) AS files, min(file_id) AS first_file FROM ev GROUP BY ALL",
     "integrity_rules": """WITH v AS (SELECT 'R1_DISCOUNT' AS rule FROM lineitem WHERE l_discount > 0.09 UNION ALL SELECT 'R2_SHIPPED_BEFORE_ORDER' FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate
  UNION ALL SELECT 'R3_UNKNOWN_ORDER' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'R4_REPEATED_LINE' FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'R5_NO_LINES' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)),
  r(rule) AS (VALUES ('R1_DISCOUNT'), ('R2_SHIPPED_BEFORE_ORDER'), ('R3_UNKNOWN_ORDER'), ('R4_REPEATED_LINE'), ('R5_NO_LINES')) SELECT r.rule, count(v.rule) AS violations, count(v.rule) = 0 AS passed FROM r LEFT JOIN v USING (rule) GROUP BY 1""",

@@ -11,7 +11,7 @@ from . import views as W
 
 
 def exact_duplicates(spark, d):
-    return R.exact_duplicates(W.files(spark, d)).select("sha256", "files", "n")
+    return R.exact_duplicates(W.files(spark, d))
 
 
 def near_duplicates(spark, d):
@@ -144,7 +144,7 @@ _SHEETS = f"""{W.VALUES}, own AS (SELECT DISTINCT stage, supplier, part AS room
 _QUEUE = "q AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderpriority LIKE '1%' THEN 0 WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey) AS place FROM orders)"
 
 SQL = {
-    "exact_duplicates": f"WITH {W.FILES} SELECT sha256, list_sort(list(file_id)) AS files, count(*) AS n FROM files GROUP BY 1 HAVING count(*) > 1",
+    "exact_duplicates": f"WITH {W.FILES}, g AS (SELECT sha256, min(file_id) AS first_file, count(*) AS n FROM files GROUP BY 1 HAVING count(*) > 1) SELECT sha256, file_id, first_file, n FROM files JOIN g USING (sha256)",
     "near_duplicates": f"WITH {W.FILES} SELECT pages, text_hash, count(*) AS n, count(DISTINCT sha256) AS contents, min(file_id) AS first_file FROM files GROUP BY ALL HAVING count(*) > 1 AND count(DISTINCT sha256) >= 2",
     "first_page_matches": f"WITH {W.FILES} SELECT text_hash, count(*) AS n, count(DISTINCT pages) AS page_counts, min(file_id) AS first_file FROM files GROUP BY ALL HAVING count(DISTINCT pages) > 1",
     "duplicate_representatives": f"WITH {W.FILES} SELECT file_id, coalesce(min(CASE WHEN lang <> 'fr' THEN file_id END) OVER (PARTITION BY sha256), file_id) AS representative FROM files",
@@ -159,7 +159,7 @@ SQL = {
  SELECT code, min(match) AS match FROM a JOIN b ON hamming(code, match) = 1 GROUP BY 1 HAVING count(*) = 1""",
     "manifest_counts": f"WITH {W.FILES} SELECT lang, object_id, count(*) AS files, CAST(sum(pages) AS BIGINT) AS pages FROM files GROUP BY GROUPING SETS ((lang), (object_id), ())",
     "file_counts": f"WITH {W.FILES} SELECT lang, CASE WHEN n_chars > 2000 THEN 'LONG' ELSE 'SHORT' END AS status, count(*) AS n FROM files GROUP BY ALL",
-    "input_hash": f"WITH {W.FILES} SELECT object_id, CAST(sum(CAST('0x' || substring(sha256(CAST(file_id AS VARCHAR) || chr(31) || sha256), 1, 13) AS BIGINT)) AS BIGINT) AS hash, count(*) AS n FROM files GROUP BY 1",
+    "input_hash": f"WITH {W.FILES} SELECT object_id, CAST(sum(CAST(CAST('0x' || substring(sha256(CAST(file_id AS VARCHAR) || chr(31) || sha256), 1, 16) AS UBIGINT) AS HUGEINT)) AS VARCHAR) AS hash, count(*) AS n FROM files GROUP BY 1",
     "sheet_overlap": f"WITH {_SHEETS} SELECT * FROM o",
     "counterparts": f"WITH {_SHEETS} SELECT page_a, page_b, overlap FROM (SELECT *, row_number() OVER (PARTITION BY page_a ORDER BY overlap DESC, jaccard DESC, page_b) AS rn FROM o) WHERE rn = 1",
     "qr_links": """WITH h AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 AS target, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(n) OVER w, 0) AS nxt FROM h WINDOW w AS (PARTITION BY user_id ORDER BY n DESC, target))

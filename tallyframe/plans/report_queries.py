@@ -254,7 +254,12 @@ SQL = {
     "merge_run": f"WITH {_MERGE} SELECT k, action, CASE action WHEN 'INSERT' THEN 1 WHEN 'UPDATE' THEN v + 1 ELSE v END AS row_version, sha, action = 'UPDATE' AS review_required FROM j",
     "merge_counts": f"WITH {_MERGE} SELECT action, count(*) AS n FROM j GROUP BY 1",
     "retention_purge": "SELECT event_type, count(*) AS n, min(ts) AS first FROM events WHERE ts >= DATE '2024-01-31' - CAST(CASE event_type WHEN 'error' THEN 20 WHEN 'signup' THEN 5 ELSE 10 END AS INTEGER) GROUP BY 1",
-    "adjusted_percents": f"WITH {W.DECISIONS}, c AS (SELECT decision, count(*) AS n FROM decisions GROUP BY 1), e AS (SELECT decision, n, n * 1000 / sum(n) OVER () AS x FROM c), f AS (SELECT decision, n, CAST(floor(x) AS BIGINT) AS fl, x - floor(x) AS rest FROM e) SELECT decision, n, (fl + CASE WHEN row_number() OVER (ORDER BY rest DESC, decision) <= 1000 - sum(fl) OVER () THEN 1 ELSE 0 END) / 10 AS percent FROM f",
+    "adjusted_percents": f"""WITH RECURSIVE {W.DECISIONS}, c AS (SELECT decision, count(*) AS n FROM decisions GROUP BY 1), r AS (SELECT decision, n, n * 1000 / sum(n) OVER () AS x, CAST(floor(n * 1000 / sum(n) OVER () + 0.5) AS BIGINT) AS t, row_number() OVER (ORDER BY decision) AS i FROM c),
+ s AS (SELECT 0 AS step, list({{'i': i, 'd': decision, 'n': n, 'x': x, 't': t}} ORDER BY i) AS g FROM r
+ UNION ALL SELECT step + 1, list_transform(g, lambda v: {{'i': v.i, 'd': v.d, 'n': v.n, 'x': v.x, 't': CASE WHEN (pick IS NOT NULL AND v.n = pick) OR (pick IS NULL AND v.i = top) THEN v.t + sign ELSE v.t END}})
+ FROM (SELECT step, g, sign, list_sort(list_transform(list_filter(g, lambda v: len(list_filter(g, lambda u: u.n = v.n)) <= abs(left_over)), lambda v: {{'a': -sign * (v.x - v.t) / v.x, 'i': v.i, 'n': v.n}}))[1].n AS pick, list_sort(list_transform(g, lambda v: {{'n': -v.n, 'i': v.i}}))[1].i AS top
+ FROM (SELECT step, g, 1000 - list_sum(list_transform(g, lambda v: v.t)) AS left_over, CASE WHEN 1000 > list_sum(list_transform(g, lambda v: v.t)) THEN 1 ELSE -1 END AS sign FROM s) WHERE left_over <> 0)),
+ z AS (SELECT unnest(g) AS v FROM s WHERE step = (SELECT max(step) FROM s)) SELECT v.d AS decision, v.n AS n, v.t / 10 AS percent FROM z""",
     "verification_summary": f"WITH {W.DECISIONS} SELECT object_id, count(*) AS n, {_REPORT}, count(DISTINCT check_id) AS checks FROM decisions GROUP BY 1",
     "partial_progress": f"WITH {_LATEST}, g AS (SELECT CAST(check_id % 25 AS INTEGER) AS group_id, count(*) FILTER (decision = 'CONFIRMED_VIOLATION') AS confirmed, count(*) AS n FROM latest GROUP BY 1) SELECT * FROM g WHERE confirmed > 0 AND confirmed < n",
     "ring_buffer": "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 20",

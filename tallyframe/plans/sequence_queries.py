@@ -113,37 +113,36 @@ def lexicon_df(spark, d):
 
 
 def text_stats(spark, d):
-    t = F.coalesce("text", F.lit(""))
-    return W.load(spark, d, "documents").select("doc_id", F.length(t).cast("bigint").alias("n"), F.regexp_count(t, F.lit("[A-Za-z]")).cast("bigint").alias("latin"), F.regexp_count(t, F.lit("[0-9]")).cast("bigint").alias("digits"), F.size(F.split(t, "\n")).cast("bigint").alias("lines"))
+    return W.load(spark, d, "documents").select("doc_id", T.text_statistics(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "s.*")
 
 
 def mode_language(spark, d):
     return P.mode_of(W.load(spark, d, "documents"), ["source"], "lang").select("source", "lang", "n")
 
 
-NUMBERS = ("1 079,9", "-12", "12.", "ИТОГО:", "0,14/1 401", "3.50", "", "7,")
-
-
 def number_parse(spark, d):
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(NUMBERS)], "i int, raw string")
-    return rows.select("i", T.parse_number(F.col("raw")).alias("value"), T.decimals_of(F.col("raw")).alias("decimals"))
+    """Prices as they are printed: groups of three, a comma; every tenth with a unit behind it."""
+    line = W.load(spark, d, "lineitem")
+    printed = F.translate(F.format_number("l_extendedprice", 2), ",.", " ,")
+    rows = line.select("l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 10 == 0, F.concat(printed, F.lit(" р."))).when(F.col("l_linenumber") == 2, F.concat(F.lit("−"), printed)).otherwise(printed).alias("raw"))
+    return rows.select("l_orderkey", "l_linenumber", T.parse_number(F.col("raw")).alias("value"), T.decimals_of(F.col("raw")).alias("decimals"))
 
 
-UNIT_NAMES = ("кв. м", "куб. м", "Га", "м2", "штук")
+UNIT_NAMES = ("кв. м", "куб.м", " Га ", "м2", "штук")
 
 
 def unit_norm(spark, d):
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(UNIT_NAMES)], "i int, raw string")
-    return rows.select("i", T.norm_unit(F.col("raw")).alias("unit"))
+    names = F.array(*map(F.lit, UNIT_NAMES))
+    return W.load(spark, d, "part").select("p_partkey", T.norm_unit(F.get(names, (F.col("p_size") % 5).cast("int"))).alias("unit"))
 
 
 def code_key(spark, d):
-    return W.load(spark, d, "part").select("p_partkey", F.regexp_replace(F.upper(F.concat_ws("-", "p_brand", "p_type")), r"[\s._/#-]+", "").alias("key"))
+    return W.load(spark, d, "part").select("p_partkey", T.code_key(F.concat_ws("-", "p_brand", "p_type")).alias("key"))
 
 
 def natural_sort(spark, d):
     part = W.load(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("."), F.col("p_size").cast("string")).alias("mark"))
-    return S.queue_order(part.withColumn("key", S.natural_key(F.col("mark"), 6)), [], [F.col("key"), F.col("p_partkey")]).select("mark", "key", F.col("place").cast("bigint").alias("place"))
+    return S.global_order(part.withColumn("key", S.natural_key(F.col("mark"), 6)), F.col("key"), [F.col("p_partkey")]).select("mark", "key", "place")
 
 
 def guarded_windows(spark, d):
@@ -239,9 +238,9 @@ SQL = {
     "lexicon_df": "WITH w AS (SELECT DISTINCT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ')) AS word FROM documents) SELECT word, count(*) AS files FROM w WHERE word <> '' GROUP BY 1 HAVING count(*) >= 20",
     "text_stats": "SELECT doc_id, length(coalesce(text, '')) AS n, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]')) AS latin, len(regexp_extract_all(coalesce(text, ''), '[0-9]')) AS digits, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS lines FROM documents",
     "mode_language": "WITH c AS (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY ALL) SELECT source, lang, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS r FROM c) WHERE r = 1",
-    "number_parse": "SELECT CAST(i AS INTEGER) AS i, value, CAST(decimals AS INTEGER) AS decimals FROM (VALUES (0, 1079.9::DOUBLE, 1), (1, -12::DOUBLE, 0), (2, 12::DOUBLE, 0), (3, NULL, 0), (4, NULL, 2), (5, 3.5::DOUBLE, 2), (6, NULL, 0), (7, 7::DOUBLE, 0)) AS v(i, value, decimals)",
-    "unit_norm": "SELECT CAST(i AS INTEGER) AS i, unit FROM (VALUES (0, 'м²'), (1, 'м³'), (2, 'га'), (3, 'м²'), (4, NULL)) AS v(i, unit)",
-    "code_key": r"SELECT p_partkey, regexp_replace(upper(p_brand || '-' || p_type), '[\s._/#-]+', '', 'g') AS key FROM part",
+    "number_parse": "SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 10 = 0 THEN NULL WHEN l_linenumber = 2 THEN -round(l_extendedprice, 2) ELSE round(l_extendedprice, 2) END AS value, CAST(2 AS INTEGER) AS decimals FROM lineitem",
+    "unit_norm": "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'м²' WHEN 1 THEN 'м³' WHEN 2 THEN 'га' WHEN 3 THEN 'м²' END AS unit FROM part",
+    "code_key": rf"SELECT p_partkey, translate(regexp_replace(upper(p_brand || '-' || p_type), '[\s._/\\-]+', '', 'g'), '{T.LATIN}', '{T.CYRILLIC}') AS key FROM part",
     "natural_sort": "WITH k AS (SELECT p_partkey, p_brand || '.' || p_size AS mark, regexp_extract(p_brand, '^([^0-9]*)', 1) || lpad(regexp_extract(p_brand, '([0-9]+)', 1), 6, '0') || '.' || lpad(CAST(p_size AS VARCHAR), 6, '0') AS key FROM part) SELECT mark, key, row_number() OVER (ORDER BY key, p_partkey) AS place FROM k",
     "guarded_windows": "SELECT doc_id, len(range(0, greatest(length(coalesce(text, '')) - 201, 0) + 1, 1800)) AS windows, CAST(greatest(length(coalesce(text, '')) - 201, 0) // 1800 * 1800 AS INTEGER) AS last FROM documents",
     "parsed_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderdate AS DATE) END AS day FROM orders",

@@ -11,40 +11,46 @@ from ..streaming import streams as S
 from . import views as W
 
 
+#: After all events; the row at this time closes the windows before it.
+END = "2999-01-01"
+
+
 def _folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tallyframe"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
-    """The events as a stream of files in event-time order."""
+    """The events as a stream of files in event-time order, and a row that ends it."""
     folder = _folder(spark)
     e = W.load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     e.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{folder}/in")
-    return S.events(spark, f"{folder}/in", e.schema, 4), folder
+    S.close(spark, f"{folder}/in", e.schema, "ts", END)
+    return S.events(spark, f"{folder}/in", e.schema, 5), folder
 
 
-def _result(spark: SparkSession, stream: DataFrame, folder: str, mode: str) -> DataFrame:
-    name = "s" + uuid.uuid4().hex
-    S.run_available(stream, name, f"{folder}/state", mode)
-    return spark.table(name)
+def _closed(spark: SparkSession, stream: DataFrame, folder: str) -> DataFrame:
+    S.run_to_files(stream, f"{folder}/out", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out")
 
 
 def stream_window_counts(spark, d):
     stream, folder = _stream(spark, d)
-    out = _result(spark, S.window_counts(stream, "ts", "event_type", "1 day"), folder, "complete")
+    out = _closed(spark, S.window_counts(stream, "ts", "event_type", "1 day"), folder)
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 def stream_dedupe_latest(spark, d):
     stream, folder = _stream(spark, d)
-    out = _result(spark, S.latest(stream, "user_id", "ts", "event_id"), folder, "complete")
-    return out.select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "n")
+    S.run_updates(S.latest(stream, "user_id", "ts", "event_id"), f"{folder}/out", f"{folder}/state")
+    return S.newest(spark, f"{folder}/out", ["user_id"]).where("user_id is not null").select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "n")
 
 
 def stream_sessions(spark, d):
     stream, folder = _stream(spark, d)
-    out = _result(spark, S.sessions(stream, "user_id", "ts", "6 hours"), folder, "complete")
+    out = _closed(spark, S.sessions(stream, "user_id", "ts", "6 hours"), folder)
     return out.select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), "n")
 
 

@@ -34,6 +34,8 @@ VALUES = """ev AS (SELECT p_brand AS param_code, CAST(l_suppkey % 5 AS INTEGER)
  l_partkey AS part, l_suppkey AS supplier, CAST(l_quantity AS INTEGER) AS quantity, p_size AS size, p_type AS type, l_tax AS tax, l_discount AS discount
  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
+#: Characters of a page of a document; its first page is hashed whole.
+PAGE_CHARS = 1000
 AXES = [("PD", "RD"), ("RD", "ID"), ("PD", "ID")]
 
 BEST = VALUES + """, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY param_code, location, stage ORDER BY confidence DESC, file_id, page_no, value, supplier) AS rn FROM ev WHERE quality = 'OK') WHERE rn = 1),
@@ -43,17 +45,21 @@ diff AS (SELECT e.param_code, e.location, axis, e.value AS expected, f.value AS
  FROM axes JOIN best e ON e.stage = a JOIN best f ON f.stage = b AND f.param_code = e.param_code AND f.location = e.location)"""
 
 
+def _order() -> list:
+    return [-F.col("confidence"), F.col("file_id"), F.col("page_no"), F.col("value"), F.col("supplier")]
+
+
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.values import best_per_key
 
-    return best_per_key(values(spark, sf_dir).where("quality = 'OK'"), ["param_code", "location", "stage"], [F.desc("confidence"), F.col("file_id"), F.col("page_no"), F.col("value"), F.col("supplier")])
+    return best_per_key(values(spark, sf_dir).where("quality = 'OK'"), ["param_code", "location", "stage"], _order())
 
 
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best values of the stages against each other."""
-    from ..operators.values import pairwise_delta, stage_pairs
+    from ..operators.values import best_pairs, pairwise_delta
 
-    both = stage_pairs(best(spark, sf_dir), ["param_code", "location"], AXES, carry=("value", "confidence", "file_id"))
+    both = best_pairs(values(spark, sf_dir).where("quality = 'OK'"), ["param_code", "location"], AXES, _order(), carry=("value", "confidence", "file_id"))
     return both.select(
         "param_code", "location", "axis", F.col("expected_value").alias("expected"), F.col("actual_value").alias("actual"), F.least("expected_confidence", "actual_confidence").alias("confidence"),
         F.col("expected_file_id").alias("expected_file"), F.col("actual_file_id").alias("actual_file"), pairwise_delta(F.col("expected_value"), F.col("actual_value"), absolute=0.5, relative=0.25).alias("result"),
@@ -64,13 +70,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File manifest and probes: documents by content."""
     text = F.coalesce("text", F.lit(""))
     return load(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("file_id"), F.col("source").alias("object_id"), F.sha2(text, 256).alias("sha256"), F.ceil(F.col("n_chars") / 1000).cast("bigint").alias("pages"),
-        F.md5(F.lower(F.substring(text, 1, 40))).alias("text_hash"), F.col("lang"), F.col("n_chars"),
+        F.col("doc_id").alias("file_id"), F.col("source").alias("object_id"), F.sha2(text, 256).alias("sha256"), F.ceil(F.col("n_chars") / PAGE_CHARS).cast("bigint").alias("pages"),
+        F.md5(F.lower(F.substring(text, 1, PAGE_CHARS))).alias("text_hash"), F.col("lang"), F.col("n_chars"),
     )
 
 
-FILES = """files AS (SELECT doc_id AS file_id, source AS object_id, sha256(coalesce(text, '')) AS sha256, CAST(ceil(n_chars / 1000) AS BIGINT) AS pages,
- md5(lower(substring(coalesce(text, ''), 1, 40))) AS text_hash, lang, n_chars FROM documents)"""
+FILES = f"""files AS (SELECT doc_id AS file_id, source AS object_id, sha256(coalesce(text, '')) AS sha256, CAST(ceil(n_chars / {PAGE_CHARS}) AS BIGINT) AS pages,
+ md5(lower(substring(coalesce(text, ''), 1, {PAGE_CHARS}))) AS text_hash, lang, n_chars FROM documents)"""
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,13 +38,37 @@ def deduplicated(stream: DataFrame, keys: list[str], ts: str, delay: str = DELAY
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Run what is available into a memory table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_files(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Run what is available and append what the watermark has closed to a folder of Parquet files; state that is closed is dropped."""
+    q = stream.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
 
+def run_updates(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Run what is available and write the rows that each batch changed; a repeated batch overwrites its own folder. newest() reads the result."""
+
+    def run(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{target}/batch={batch}")
+
+    q = stream.writeStream.foreachBatch(run).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def newest(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """The last row that any batch wrote for each key."""
+    rows = spark.read.parquet(target)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
+
+
+def close(spark: SparkSession, folder: str, schema, ts: str, at: str) -> None:
+    """Append a row at `at`, with nulls but for its time, so that windows before it close when the stream ends here."""
+    one = spark.range(1).select(*[F.lit(at).cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+    one.write.mode("append").parquet(folder)
+
+
 def jobs(stream: DataFrame, handle: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
     """At-least-once jobs with an idempotent target: each batch overwrites its own partition, so a repeated batch changes nothing."""
 

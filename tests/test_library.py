@@ -152,7 +152,14 @@ def test_findings(spark):
 
 def test_reports_and_scores(spark):
     n = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "k string, n int")
-    assert sum(r["percent"] for r in reports.adjusted_percents(n, "k", "n").collect()) == pytest.approx(100.0)
+    assert sorted(r["percent"] for r in reports.adjusted_percents(n, "k", "n").collect()) == [33.3, 33.3, 33.4]  # three rows don't fit one tenth, so the first row takes it
+    assert reports.balanced([]) == [] and reports.balanced([0, 0]) == [0, 0] and reports.balanced([5]) == [1000]
+    assert reports.balanced([1, 1, 4]) == [167, 167, 666]  # two wronged rows don't fit one tenth, the third does
+    assert reports.balanced([1, 1, 1, 1, 1, 1, 1]) == [142, 143, 143, 143, 143, 143, 143]
+    for counts in ([3, 3, 5, 7, 11, 13], [1] * 30, [997, 1, 1, 1], [2, 2, 2, 1]):
+        assert sum(reports.balanced(counts)) == 1000
+    many = spark.range(100_000).select(F.lit("g").alias("g"), "id")
+    assert len(many.groupBy("g").agg(registry.multiset_hash(many, [F.col("id")]).alias("h")).first()["h"]) >= 23
     c = scoring.prf(spark.createDataFrame([(0, 0, 0), (10, 3, 0)], "tp int, fp int, fn int")).orderBy("tp").collect()
     assert (c[0]["f1"], c[1]["f1"]) == (0.0, pytest.approx(0.869565))
     low, high = scoring.wilson(F.lit(0), F.lit(0))
@@ -178,6 +185,12 @@ def test_phrases(spark):
     docs = spark.createDataFrame([(1, "The red fox. The red fox!"), (2, "red the fox"), (3, None)], "d int, text string")
     names = spark.createDataFrame([(7, "the RED fox")], "p int, text string")
     assert [tuple(r) for r in phrases.phrase_hits(docs, names, "d", "p").collect()] == [(7, 1, 2)]
+    more = spark.createDataFrame([(1, "the the the of the"), (1, "the the"), (1, "the the"), (2, "of"), (None, "of the")], "d int, text string")
+    names = spark.createDataFrame([(1, "the the"), (2, "of the"), (3, "of absent"), (4, ""), (5, None)], "p int, text string")
+    got = {(r["p"], r["d"]): r["hits"] for r in phrases.phrase_hits(more, names, "d", "p").collect()}
+    assert got == {(1, 1): 4, (2, 1): 1, (2, None): 1}
+    stems = phrases.phrase_hits(spark.createDataFrame([(1, "walls and windows")], "d int, text string"), spark.createDataFrame([(1, "walled and window")], "p int, text string"), "d", "p", stem=4)
+    assert [tuple(r) for r in stems.collect()] == [(1, 1, 1)]
 
 
 def test_readers_and_writers(spark, tmp_path):
@@ -212,7 +225,10 @@ def test_stream_late_rows_and_retries(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:01:00"), (1, "2024-01-01 00:20:00")]
     spark.createDataFrame(rows, "k int, t string").select("k", F.to_timestamp("t").alias("ts")).write.parquet(str(tmp_path / "in"))
     stream = streams.events(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, 10)
-    streams.run_available(streams.window_counts(stream, "ts", "k", "5 minutes"), "late_rows", str(tmp_path / "state"), "complete")
-    assert spark.table("late_rows").agg(F.sum("n")).first()[0] == 3
+    streams.run_updates(streams.window_counts(stream, "ts", "k", "5 minutes"), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert streams.newest(spark, str(tmp_path / "out"), ["start", "k"]).agg(F.sum("n")).first()[0] == 3
+    streams.close(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, "ts", "2024-02-01")
+    streams.run_to_files(streams.window_counts(streams.events(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, 10), "ts", "k", "5 minutes"), str(tmp_path / "closed"), str(tmp_path / "state2"))
+    assert spark.read.parquet(str(tmp_path / "closed")).agg(F.sum("n")).first()[0] == 3
     failed = spark.createDataFrame([(1, "FAILED", 1, "2024-01-01 00:00:00"), (2, "FAILED", 2, "2024-01-01 00:00:00"), (3, "FAILED", 4, "2024-01-01 00:00:00")], "id int, status string, attempts int, last_attempt string")
     assert [r["id"] for r in streams.attempts_due(failed, "2024-01-01 00:02:00").collect()] == [1]
