@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import math
 import os
 import tempfile
 import uuid
@@ -62,6 +63,19 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -
     return docs.withColumn("_row", key(id_col, text_col)).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
+def least_hashed(rows: DataFrame, h: str, n: int, ties: list[str]) -> DataFrame:
+    """The n rows of least hash (a column of 64 bits), ties in order of `ties`; all where there are no more.
+
+    Rows are counted, and only those under a hash that about n rows stay under are ranked, so no partition sends n rows.
+    """
+    count = rows.count()
+    if count <= n:
+        return rows
+    few = n + 8 * math.isqrt(n) + 8
+    under = rows if few >= count else rows.where(F.col(h) <= (few << 64) // count - (1 << 63))
+    return under.orderBy(h, *ties).limit(n)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -7,7 +7,7 @@ of its two log-likelihoods, divided by its length; it is allowed at or above a t
 the counts (the middle between what best parts both classes, each class weighing the same).
 
 At scale: the rules are Column expressions. The models are fitted on at most FIT_URLS distinct urls a class (those of
-least hash: a documented bound), on the driver, so what is broadcast is bounded by FIT_URLS * LONGEST * (ORDER + 1) contexts. All urls are judged in one pass
+least hash: a documented bound) of any length, on the driver; what is broadcast is their contexts. All urls are judged in one pass
 without a shuffle; repeated urls and hot hosts need no care.
 """
 
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, least_hashed, table
 
 #: (host, path prefix, verdict)
 RULES = (
@@ -33,7 +33,6 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 FIT_URLS = 10_000
-LONGEST = 200
 ORDER = 5
 ALPHABET = 256
 _START, _END = "\x02", "\x03"
@@ -121,11 +120,14 @@ class Ratio:
 
 
 def fit(urls: DataFrame, url_col: str = "url", rules: tuple = RULES, fit_urls: int = FIT_URLS) -> Ratio:
-    """Learn from the urls that rules decide, at most fit_urls distinct ones a class; urls without labels give a score of 0 and a threshold of 0."""
+    """Learn from the urls that rules decide, at most fit_urls distinct ones a class; urls without labels give a score of 0 and a threshold of 0.
+
+    Repeated urls count once; of urls of one hash the lesser come first; whole urls are learned, however long.
+    """
     host, path = split_url(F.col(url_col))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
-    decided = urls.select(host.alias("host"), path.alias("path")).select(F.substring(F.concat("host", "path"), 1, LONGEST).alias("u"), verdict.alias("v")).where("v is not null").distinct()
-    chosen = {v: [r[0] for r in decided.where(F.col("v") == v).orderBy(F.xxhash64("u"), "u").limit(fit_urls).select("u").collect()] for v in ("allow", "block")}
+    decided = urls.select(host.alias("host"), path.alias("path")).select(F.concat("host", "path").alias("u"), verdict.alias("v")).where("v is not null").distinct().withColumn("h", F.xxhash64("u"))
+    chosen = {v: [r[0] for r in least_hashed(decided.where(F.col("v") == v), "h", fit_urls, ["u"]).select("u").orderBy("u").collect()] for v in ("allow", "block")}
     return Ratio(chosen["allow"], chosen["block"])
 
 
