@@ -5,7 +5,9 @@ P(w|v) = d c(vw)/c(v) where the pair was seen, else alpha(v) P(w); P(w) = d c(w)
 as the chance of the one unknown token. d is the Good-Turing discount for counts up to KATZ (from the counts of counts of all training
 texts) and ABOVE beyond, so every context keeps mass to back off with; alpha normalises each context exactly.
 
-Tables (Parquet, partitioned by kind, in buckets of contexts or words): unigrams, pair counts (m), backoff weights (b).
+Tables (Parquet, partitioned by kind, in buckets of contexts or words): unigrams, pair counts (m, and h for pairs of two heavy words), backoff weights (b).
+evaluated() scores any texts from these tables, token by token; scored() scores the texts of the corpus itself, where their pairs are counted anyway, and gives
+the same (tested).
 Words are named by 64-bit XXH64 (two words of a million share one once in 10^7 vocabularies), contexts by 48 bits of it.
 
 At scale: all occurrences of a pair meet once, packed by (batch of texts, bucket), and are counted and scored where they meet;
@@ -21,6 +23,7 @@ import hashlib
 import math
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -364,6 +367,66 @@ def _summed(d: np.ndarray) -> Callable:
     return run
 
 
+@dataclass
+class Tables:
+    """A fitted model: unigrams (h, c), packed pair counts and backoff weights by kind, discounts of pairs, and what is known of all words."""
+
+    words: DataFrame
+    pairs: DataFrame
+    backed: DataFrame
+    model: Model
+    d: np.ndarray
+
+    def pair_counts(self) -> DataFrame:
+        """(v, w, c): counts of pairs by 48 bits of the first word's hash and the second word's hash."""
+        heavy, k = self.model.heavy, len(self.model.heavy)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    x = unpack(blob)
+                    v, w, c = (x[2], np.repeat(x[0], x[1]), x[3]) if kind == "m" else (heavy[x[0] // k] & CONTEXT, heavy[x[0] % k], x[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(w, pa.int64()), pa.array(c.astype(np.int64))], ["v", "w", "c"])
+
+        return self.pairs.where("kind in ('m', 'h')").select("kind", "blob").mapInArrow(run, "v bigint, w bigint, c bigint")
+
+    def contexts(self) -> DataFrame:
+        """(v, n, alpha): tokens behind each context and its backoff weight."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for blob in b.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpack(blob)], ["v", "n", "alpha"])
+
+        return self.backed.where("kind = 'b'").select("blob").mapInArrow(run, "v bigint, n bigint, alpha double")
+
+
+def evaluated(texts: DataFrame, tables: Tables, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, score) of any texts by the stored tables: a pair's discounted share of its context where the pair is known, else the context's backoff weight (1 for
+    an unknown context) times the word's own chance, which is its discounted share or, for an unknown word, that of the unknown token.
+
+    Null and empty texts are one end token; rows are told apart by id, repeated ids add up. Tokens meet the tables by three joins, of which Spark splits hot keys.
+    """
+    model, d = tables.model, tables.d
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = np.array([*map(word_hash, (text or "").encode("utf-8", "surrogatepass").lower().split()), model.end], np.int64)
+                v = np.append(model.start, w[:-1]) & CONTEXT
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(w), pa.int64()), pa.array(v, pa.int64()), pa.array(w)], ["id", "v", "w"])
+
+    def share(c: Column, discount: np.ndarray) -> Column:
+        return F.element_at(F.array(*[F.lit(float(x)) for x in discount]), (F.least(c, F.lit(KATZ + 1)) + 1).cast("int"))
+
+    tokens = texts.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, v bigint, w bigint").groupBy("id", "v", "w").agg(F.count("*").alias("n"))
+    words = tables.words.select(F.col("h").alias("w"), F.col("c").alias("cw"))
+    met = tokens.join(tables.pair_counts(), ["v", "w"], "left").join(tables.contexts().select("v", F.col("n").alias("cv"), "alpha"), "v", "left").join(words, "w", "left")
+    own = F.when(F.col("cw") > 0, share(F.col("cw"), model.d1) * F.col("cw") / max(1, model.total)).otherwise(float(model.unknown)) if model.total else F.lit(1.0)
+    chance = F.when(F.col("c") > 0, share(F.col("c"), d) * F.col("c") / F.col("cv")).otherwise(F.coalesce("alpha", F.lit(1.0)) * own)
+    return met.groupBy("id").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.log10(chance)).alias("score")).withColumnRenamed("id", id_col)
+
+
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, heavy: float = HEAVY, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 chances of the text) for each row of docs.
 
@@ -371,6 +434,11 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     Null and empty texts are one end token. Repeated rows count and come back each time; an empty table gives no rows; other columns are ignored.
     Without training rows every token is the unknown one, with chance 1.
     """
+    return scored_with_tables(docs, id_col, text_col, held, heavy, bucket_tokens)[0]
+
+
+def scored_with_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, heavy: float = HEAVY, bucket_tokens: int = BUCKET_TOKENS) -> tuple[DataFrame, Tables]:
+    """What scored() gives, and the model's tables."""
     spark = docs.sparkSession
     held = held_out(F.col(id_col)) if held is None else held
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held.alias("held"))
@@ -411,7 +479,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     parts = of("d").select("kind", "batch", "blob").unionByName(backed.where("kind = 'x'").select("kind", "batch", "blob"))
     texts = rows.mapInArrow(_texts(spark.sparkContext.broadcast((model, d, pair, seen, alpha))), TEXTS)
     out = texts.groupBy("batch").cogroup(parts.groupBy("batch")).applyInArrow(_summed(d), "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
+    out = out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
+    return out, Tables(words, table, backed, model, d)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,3 +79,18 @@ def test_empty_table_and_clashing_columns(spark):
     assert katz.scored(none).collect() == []
     one = spark.createDataFrame([(1, "a b", 3, "k")], "doc_id bigint, text string, bucket int, kind string")
     assert katz.scored(one).count() == 1
+
+
+@pytest.mark.parametrize("heavy", [0.5, 0.02])
+def test_tables_score_any_texts_the_same(spark, heavy):
+    r = random.Random(5)
+    words = ["the", "of", "A", "x."] + [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(r.choices(words, [40, 30, 20, 9] + [1] * 40, k=r.randint(0, 30)))) for k in range(80)] + [(200, None), (201, "never seen the zzz the"), (202, "of " * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out, tables = katz.scored_with_tables(docs, heavy=heavy, bucket_tokens=100)
+    want = {x["doc_id"]: (x["n_tokens"], x["score"]) for x in out.collect()}
+    got = {x["doc_id"]: (x["n_tokens"], x["score"]) for x in katz.evaluated(docs, tables).collect()}
+    assert got.keys() == want.keys()
+    for k, (n, score) in want.items():
+        assert got[k][0] == n and got[k][1] == pytest.approx(score, rel=1e-9, abs=1e-9)
+    assert katz.evaluated(docs.limit(0), tables).collect() == []
