@@ -129,3 +129,88 @@ def expect(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFr
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]))
     marked = rows.withColumn("failed", failed)
     return marked.where(F.size("failed") == 0).drop("failed"), marked.where(F.size("failed") > 0)
+
+
+def registry_json(spark: SparkSession, path: str) -> DataFrame:
+    """(name, stage, section) of a registry in JSON, whatever it calls them; absent fields are null."""
+    raw = spark.read.option("multiLine", True).json(path)
+    by = {c.strip().lower(): c for c in raw.columns}
+    pick = lambda k: next((F.col(f"`{by[a]}`").cast("string") for a in ALIASES[k] if a in by), F.lit(None).cast("string"))
+    return raw.select(F.lower(F.trim(pick("name"))).alias("name"), pick("stage").alias("stage"), pick("section").alias("section")).where("name is not null")
+
+
+def archive_member(files: DataFrame, member: str, most: int = MAX_BYTES) -> DataFrame:
+    """(path, content, problem) of one member of each zip archive: its name must be safe and its size within `most`; otherwise a problem and no content."""
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zipfile
+
+        for b in batches:
+            rows = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        info = z.getinfo(member)
+                        rows.append((path, None, "TOO_LARGE") if info.file_size > most else (path, z.read(info), None))
+                except zipfile.BadZipFile:
+                    rows.append((path, None, "NOT_AN_ARCHIVE"))
+                except KeyError:
+                    rows.append((path, None, "NO_MEMBER"))
+            yield pd.DataFrame(rows, columns=["path", "content", "problem"])
+
+    out = files.select("path", "content").mapInPandas(read, "path string, content binary, problem string")
+    unsafe = F.size(member_path_problems(F.lit(member))) > 0
+    return out.select("path", F.when(~unsafe, F.col("content")).alias("content"), F.when(unsafe, "UNSAFE_NAME").otherwise(F.col("problem")).alias("problem"))
+
+
+def typed_jsonl(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors): rows of JSON lines, and an error for each line that is no JSON of the schema (MALFORMED) or lacks a required field (MISSING_<field>)."""
+    rows = jsonl(spark, path, schema)
+    lacking = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"MISSING_{c.upper()}")) for c in required])) if required else F.array().cast("array<string>")
+    codes = F.when(F.col("_corrupt").isNotNull(), F.array(F.lit("MALFORMED"))).otherwise(lacking)
+    marked = rows.withColumn("_codes", codes)
+    return marked.where(F.size("_codes") == 0).drop("_codes", "_corrupt"), marked.select(F.explode("_codes").alias("code"), "_corrupt").withColumnRenamed("_corrupt", "line")
+
+
+def token_words(tokens: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
+    """(file_id, page_no, word_no, text, x0, y0, x1, y1) of the tokens' words in page units; a token of several words gives each its share of the width."""
+    parts = F.split(F.trim("text"), r"\s+")
+    rows = tokens.where(F.trim("text") != "").withColumn("_n", F.size(parts)).select("file_id", "page_no", "id", "bbox", width, height, "_n", F.posexplode(parts).alias("word_no", "text"))
+    step = (F.col("bbox")[2] - F.col("bbox")[0]) / F.col("_n")
+    left = F.col("bbox")[0] + F.col("word_no") * step
+    return rows.select("file_id", "page_no", "id", "word_no", "text", (left * F.col(width)).alias("x0"), (F.col("bbox")[1] * F.col(height)).alias("y0"), ((left + step) * F.col(width)).alias("x1"), (F.col("bbox")[3] * F.col(height)).alias("y1"))
+
+
+def region_tokens(store: DataFrame, file_id: str, page_no: int, region: tuple[float, float, float, float]) -> DataFrame:
+    """Tokens of a page whose centre lies in a region; file and page reach the partitions of a stored table as filters."""
+    x, y = (F.col("bbox")[0] + F.col("bbox")[2]) / 2, (F.col("bbox")[1] + F.col("bbox")[3]) / 2
+    return store.where((F.col("file_id") == file_id) & (F.col("page_no") == page_no)).where(x.between(region[0], region[2]) & y.between(region[1], region[3]))
+
+
+def run_predictions(spark: SparkSession, run: str, schema: str) -> DataFrame:
+    """Predictions of a run's folder: its `submission` folder where there is one, else every JSON of the tree but sidecars; `source` names the file."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = predictions(spark, f"{run.rstrip('/')}/submission", schema)
+    except (AnalysisException, Py4JJavaError):
+        rows = predictions(spark, run, schema)
+    return rows.withColumn("source", F.element_at(F.split(F.input_file_name(), "/"), -1))
+
+
+def checked_index(index: DataFrame, found: DataFrame, most_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, problem) of an index against the files that are there: MISSING, NOT_LISTED, OTHER_CONTENT, OTHER_SIZE, TOO_LARGE."""
+    a = index.select("path", F.col("sha256").alias("_a"), F.col("size").alias("_n"))
+    both = a.join(found.select("path", F.col("sha256").alias("_b"), F.col("size").alias("_m")), "path", "full_outer")
+    problem = F.when(F.col("_b").isNull(), "MISSING").when(F.col("_a").isNull(), "NOT_LISTED").when(F.col("_m") > most_bytes, "TOO_LARGE").when(F.col("_n") != F.col("_m"), "OTHER_SIZE").when(F.col("_a") != F.col("_b"), "OTHER_CONTENT")
+    return both.select("path", problem.alias("problem")).where("problem is not null")
+
+
+def loaded_manifest(spark: SparkSession, path: str, excluded: DataFrame | None = None, policy: DataFrame | None = None, vocabularies: dict[str, tuple[str, ...]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files, flags) of a manifest without excluded files and hidden objects; of a repeated id the first path counts."""
+    files, flags = manifest(spark, path, vocabularies)
+    rest = [c for c in files.columns if c != "file_id"]
+    files = files.groupBy("file_id").agg(F.min_by(F.struct(*rest), F.struct("relative_path", "sha256")).alias("_r")).select("file_id", "_r.*")
+    if excluded is not None:
+        files = files.join(excluded.select("file_id").distinct(), "file_id", "left_anti")
+    return (visible(files, policy) if policy is not None else files), flags

@@ -72,3 +72,79 @@ def prometheus(metrics: DataFrame) -> DataFrame:
     line = F.concat("name", F.when(F.size("labels") > 0, F.concat(F.lit("{"), pairs, F.lit("}"))).otherwise(""), F.lit(" "), F.col("value").cast("string"))
     head = F.concat(F.lit("# HELP "), "name", F.lit(" "), "help", F.lit("\n# TYPE "), "name", F.lit(" "), "type", F.lit("\n"))
     return metrics.groupBy("name", head.alias("head")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines")).select("name", F.concat("head", "lines").alias("text"))
+
+
+def strict_projection(rows: DataFrame, contract: str) -> DataFrame:
+    """rows with the contract's columns and fields only, in its order and types; what rows lack is null."""
+    from pyspark.sql import types as T
+
+    def fit(c: Column, have: T.DataType, want: T.DataType) -> Column:
+        if isinstance(want, T.StructType) and isinstance(have, T.StructType):
+            parts = [(fit(c.getField(f.name), have[f.name].dataType, f.dataType) if f.name in have.names else F.lit(None).cast(f.dataType)).alias(f.name) for f in want]
+            return F.when(c.isNotNull(), F.struct(*parts))
+        if isinstance(want, T.ArrayType) and isinstance(have, T.ArrayType):
+            return F.transform(c, lambda x: fit(x, have.elementType, want.elementType))
+        return c.cast(want)
+
+    want = T._parse_datatype_string(contract)
+    return rows.select(*[(fit(F.col(f.name), rows.schema[f.name].dataType, f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in want])
+
+
+def gated_submission(findings: DataFrame, gates: DataFrame, negatives: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(answers, refused): the submission of objects that pass all their gates (object_id, gate, passed), and the objects that don't with the gates they fail."""
+    failed = gates.where(~F.coalesce(F.col("passed"), F.lit(False))).groupBy("object_id").agg(F.array_sort(F.collect_set("gate")).alias("failed"))
+    return submission(findings, negatives).join(failed, "object_id", "left_anti"), failed
+
+
+def sidecar(spark: SparkSession, run_id: str, settings: dict[str, str], artifacts: DataFrame, started_at: str, checks_total: int) -> DataFrame:
+    """One row of provenance: settings and their hash, number and hash of the artifacts (order does not matter), start and number of checks."""
+    import hashlib
+    import json
+
+    text = json.dumps(settings, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    total = artifacts.agg(F.count("*").alias("artifacts"), F.coalesce(F.sum(F.conv(F.substring("sha256", 1, 15), 16, 10).cast("decimal(20,0)")).cast("string"), F.lit("0")).alias("artifacts_hash"))
+    head = {"run_id": run_id, "started_at": started_at, "settings": text, "settings_sha256": hashlib.sha256(text.encode()).hexdigest()}
+    return total.select(*[F.lit(v).alias(k) for k, v in head.items()], F.lit(checks_total).cast("bigint").alias("checks_total"), "artifacts", "artifacts_hash")
+
+
+def write_token_cache(tokens: DataFrame, path: str, version: str) -> None:
+    """Tokens keyed by content hash, in a partition of the pipeline's version; pages that the cache has already are not written again."""
+    spark = tokens.sparkSession
+    rows = tokens.withColumn("pipeline_version", F.lit(version)).dropDuplicates(["sha256", "page_no"])
+    try:
+        known = spark.read.parquet(path).where(F.col("pipeline_version") == version).select("sha256", "page_no")
+        rows = rows.join(known, ["sha256", "page_no"], "left_anti")
+    except Exception as e:  # noqa: BLE001  no cache yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    rows.write.mode("append").partitionBy("pipeline_version").parquet(path)
+
+
+def protocol_json(objects: DataFrame, rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, protocol): one JSON document an object, its rows in order under their section; an object's protocol is one document by definition."""
+    body = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rows.columns if c not in (key, *order)])
+    docs = rows.groupBy(key).agg(F.array_sort(F.collect_list(body)).alias("rows"))
+    return objects.join(docs, key, "left").select(key, F.to_json(F.struct(*objects.columns, "rows")).alias("protocol"))
+
+
+def write_merged(target: str, changes: DataFrame, key: str, sha: str, version: int) -> DataFrame:
+    """Write the next version of a table, a folder of its own: new and changed rows from `changes`, unchanged ones kept, those that changes lacks marked SUPERSEDED.
+
+    A reader of the version before sees it until the new folder is whole; a repeated job writes the same folder again.
+    """
+    spark = changes.sparkSession
+    new = changes.select(key, sha, F.lit("CURRENT").alias("state"), F.lit(version).alias("since"))
+    if version > 1:
+        old = spark.read.parquet(f"{target}/version={version - 1}").select(key, F.col(sha).alias("_sha"), F.col("since").alias("_since"))
+        both = old.join(new, key, "full_outer")
+        same = F.col("_sha").eqNullSafe(F.col(sha))
+        new = both.select(key, F.coalesce(sha, "_sha").alias(sha), F.when(F.col("state").isNull(), "SUPERSEDED").otherwise(F.col("state")).alias("state"), F.when(F.col("state").isNull() | same, F.col("_since")).otherwise(F.lit(version)).alias("since"))
+    new.write.mode("overwrite").parquet(f"{target}/version={version}")
+    return spark.read.parquet(f"{target}/version={version}")
+
+
+def score_summary(total: DataFrame, by: str) -> DataFrame:
+    """(text): a line for each row of a score table, in order of `by`: its name and its figures as name=value."""
+    parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in total.columns if c != by]
+    lines = total.select(F.struct(F.col(by).cast("string").alias("k"), F.concat_ws(" ", F.concat(F.col(by).cast("string"), F.lit(":")), *parts).alias("line")).alias("l"))
+    return lines.agg(F.array_join(F.array_sort(F.collect_list("l"))["line"], "\n").alias("text"))
