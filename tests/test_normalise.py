@@ -64,3 +64,21 @@ def test_templates_and_lines(spark):
     assert one(spark, N.joined_lines(F.lit("юго-"), F.lit("западный"), known)) == "юго-западный"
     assert one(spark, N.joined_lines(F.lit(None).cast("string"), F.lit("b"), known)) == "b"
     assert one(spark, N.document_codes(F.lit("по листу АБ-12/3.4, дата 01.02.2024г и (АБ-12/3.5)."))) == ["АБ-12/3.4", "АБ-12/3.5"]
+
+
+def test_spans_names_and_lines(spark):
+    from tallyframe.operators import extract as E
+
+    assert [tuple(x) for x in one(spark, E.spans(F.lit("a 12 b 12 c 3"), "[0-9]+"))] == [(3, "12"), (8, "12"), (13, "3")]
+    assert one(spark, E.spans(F.lit(None).cast("string"), "x")) == []
+    rows = spark.createDataFrame([(bytearray("план.pdf".encode("cp866")), False), (bytearray("план.pdf".encode()), False), (bytearray(b"plan.pdf"), False), (bytearray("план".encode()), True), (None, True)], "raw binary, utf8 boolean")
+    assert [r[0] for r in rows.select(E.member_name("raw", "utf8")).collect()] == ["план.pdf", "план.pdf", "plan.pdf", "план", None]
+    truth = spark.createDataFrame([(1, 1, "one two", [0.0, 0.0, 0.5, 0.1]), (1, 2, "lost", [0.0, 0.5, 0.5, 0.6])], "page int, line int, text string, box array<double>")
+    found = spark.createDataFrame([(1, 7, "twx and more", [0.25, 0.0, 0.9, 0.1]), (1, 8, "one", [0.0, 0.0, 0.24, 0.1])], "page int, line int, text string, box array<double>")
+    got = {r["line"]: (r["errors"], r["signs"]) for r in E.line_errors(truth, found, "page", "line", "text", "box").collect()}
+    assert got == {1: (1, 7), 2: (4, 4)}
+    layer = spark.createDataFrame([(1, 1, [0.0, 0.0, 0.5, 0.1])], "page int, line int, box array<double>")
+    assert tuple(E.gap_capture(truth, layer, found, "page", "line", "box").first()) == (1, 0, 0.0)
+    tri = F.array(*[F.lit(x) for x in (0.0, 0.0, 2.0, 0.0, 0.0, 2.0)])
+    square = F.array(*[F.lit(x) for x in (0.0, 0.0, 1.0, 0.0, 1.0, 1.0, 0.0, 1.0)])
+    assert one(spark, E.polygon_iou(tri, square)) == pytest.approx(0.5) and one(spark, E.polygon_iou(square, square)) == pytest.approx(1.0)
