@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Latin letters and the Cyrillic ones that look like them.
@@ -104,9 +104,18 @@ def code_key(c: Column) -> Column:
     return fold_mark(F.upper(F.regexp_replace(c, r"[\s._/\\-]+", "")))
 
 
+def location_key(c: Column, mode: str = "light") -> Column:
+    """A location in one of three strengths: strict as it is; light in base form without room words; relaxed without leading zeros and marks, too. Nothing is the whole object."""
+    if mode == "strict":
+        return c
+    light = F.regexp_replace(base_text(c), r"^(помещение|пом\.?|комната|комн\.?|room)\s*№?\s*", "")
+    out = F.regexp_replace(F.regexp_replace(light, r"[^\p{L}\p{N}]+", ""), r"^0+(?=[0-9])", "") if mode == "relaxed" else light
+    return F.when(c.isNull() | (F.trim(c) == ""), "object").otherwise(out)
+
+
 def normalize_location(c: Column) -> Column:
     """Room words and leading zeros off."""
-    return F.regexp_replace(F.regexp_replace(base_text(c), r"^(пом\.?|помещение|комн\.?|комната|room)\s*№?\s*", ""), r"^0+(?=[0-9])", "")
+    return F.regexp_replace(F.regexp_replace(base_text(c), r"^(помещение|пом\.?|комната|комн\.?|room)\s*№?\s*", ""), r"^0+(?=[0-9])", "")
 
 
 def room_list(c: Column) -> Column:
@@ -117,6 +126,23 @@ def room_list(c: Column) -> Column:
     return F.flatten(F.transform(parts, lambda p: F.when(high(p) >= low(p), F.sequence(low(p), high(p))).otherwise(F.array(low(p)))))
 
 
+def system_counts(rows: DataFrame, by: list[str], mark: str) -> DataFrame:
+    """(by, system, marks): distinct marks of each system prefix; marks without a prefix are left out."""
+    own = rows.select(*by, mark, system_prefix(F.col(mark)).alias("system")).where("system <> ''")
+    return own.groupBy(*by, "system").agg(F.count_distinct(mark).alias("marks"))
+
+
+#: Abbreviations that end no sentence.
+ABBREVIATIONS = ("см", "рис", "табл", "стр", "п", "пп", "ст", "т", "г", "ул", "д", "кв", "им", "др", "пр", "e.g", "i.e", "no")
+
+
+def whole_sentences(c: Column) -> Column:
+    """Sentences of a text; a stop behind an abbreviation or a single letter ends none."""
+    marked = F.regexp_replace(c, r"(?iu)(?<![\p{L}])((?:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")|\p{Lu})\.(?=\s)", "$1\u0001")
+    parts = F.split(marked, r"(?<=[.!?])\s+(?=[\p{Lu}\p{N}«\"])")
+    return F.filter(F.transform(parts, lambda s: F.trim(F.translate(s, "\u0001", "."))), lambda s: s != "")
+
+
 def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+(?=\p{Lu})"), F.trim), lambda s: s != "")
 
@@ -182,5 +208,15 @@ def rotated_point(x: Column, y: Column, width: Column, height: Column, rotation:
     return {0: (nx, ny), 90: (1 - ny, nx), 180: (1 - nx, 1 - ny), 270: (ny, 1 - nx)}[rotation % 360]
 
 
+def cropped_point(x: Column, y: Column, crop: tuple[float, float, float, float]) -> tuple[Column, Column]:
+    """A point of a page in the normalised coordinates of a part of it; outside of it below 0 or above 1."""
+    return (x - crop[0]) / (crop[2] - crop[0]), (y - crop[1]) / (crop[3] - crop[1])
+
+
+def sorted_json_sha256(**fields: Column) -> Column:
+    """sha256 of the JSON of named fields in the order of their names, nulls included."""
+    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
+
+
 def canonical_sha256(*columns: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*columns)), 256)

@@ -63,8 +63,10 @@ def similarity(a: Column, b: Column) -> Column:
 
 def nearest_codes(codes: DataFrame, known: DataFrame, code: str, block: str, least: float = 0.75, ladder: tuple[float, ...] = (0.98, 0.90, 0.80, 0.65)) -> DataFrame:
     """Best known code within a block by similarity, at `least` or more, with its step of the ladder; ties take the lower code."""
-    pairs = codes.select(block, code).distinct().join(known.select(block, F.col(code).alias("match")).distinct(), block).withColumn("score", similarity(F.col(code), F.col("match"))).where(F.col("score") >= least)
-    best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy(block, code).orderBy(F.desc("score"), "match"))).where("_n = 1").drop("_n")
+    own, other = codes.select(block, code).distinct(), known.select(block, F.col(code).alias("match")).distinct()
+    near = F.abs(F.length(code) - F.length("match")) <= (1 - least) * F.greatest(F.length(code), F.length("match"))  # a distance is never less than the difference of lengths
+    pairs = own.join(other, block).where(near).withColumn("score", similarity(F.col(code), F.col("match"))).where(F.col("score") >= least)
+    best = pairs.groupBy(block, code).agg(F.min_by(F.struct("match", "score"), F.struct(-F.col("score"), "match")).alias("_b")).select(block, code, "_b.match", "_b.score")
     step = F.lit(len(ladder))
     for i, x in reversed(list(enumerate(ladder))):
         step = F.when(F.col("score") >= x, i).otherwise(step)

@@ -56,6 +56,19 @@ def indicator(confirmed: Column, pending: Column, rejected: Column) -> Column:
     return F.when(confirmed > 0, "RED").when(pending > 0, "YELLOW").when(rejected > 0, "GREEN").otherwise("NONE")
 
 
+def indicator_reason(confirmed: Column, pending: Column, rejected: Column) -> Column:
+    """struct(colour, reason) of an object: the count that decides its colour."""
+    colour = indicator(confirmed, pending, rejected)
+    n = F.when(colour == "RED", confirmed).when(colour == "YELLOW", pending).when(colour == "GREEN", rejected)
+    name = F.when(colour == "RED", "confirmed").when(colour == "YELLOW", "pending").when(colour == "GREEN", "rejected")
+    return F.struct(colour.alias("colour"), F.coalesce(F.concat(name, F.lit("="), n.cast("string")), F.lit("no decisions")).alias("reason"))
+
+
+def last_rows(rows: DataFrame, key: str, order: list[Column], most: int = 500) -> DataFrame:
+    """A ring buffer: the last `most` rows of each key (the buffer's own size)."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+
+
 def tiles(rows: DataFrame, colour: str, colours: tuple[str, ...] = ("RED", "YELLOW", "GREEN", "NONE")) -> DataFrame:
     """One row: number of objects of each colour, and of all."""
     return rows.agg(F.count("*").alias("objects"), *[F.count_if(F.col(colour) == c).alias(c.lower()) for c in colours])

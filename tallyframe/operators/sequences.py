@@ -115,6 +115,18 @@ def page_of(rows: DataFrame, order: list[Column], offset: int, limit: int) -> Da
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_with_total(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """A page of the ordered rows, each with the number of all rows in `total`; no rows beyond the end."""
+    return page_of(rows, order, offset, limit).withColumn("total", F.lit(rows.count()))
+
+
+def first_of_key(rows: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(first row of each key in order, keys with the number of rows that were passed over)."""
+    rest = [c for c in rows.columns if c not in keys]
+    found = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"), (F.count("*") - 1).alias("passed_over"))
+    return found.select(*keys, "_r.*").select(*rows.columns), found.where("passed_over > 0").select(*keys, "passed_over")
+
+
 def lines_by_gap(words: DataFrame, page: str, y: str, x: str, gap: float) -> DataFrame:
     """Words of a page gathered into lines by vertical gaps: adds `line`; order inside a line is by x."""
     w = Window.partitionBy(page).orderBy(y, x)

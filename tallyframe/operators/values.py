@@ -18,8 +18,9 @@ def usable(values: DataFrame) -> DataFrame:
 
 
 def trusted(values: DataFrame) -> DataFrame:
-    """Values that conflicts may rest on: quality OK and first candidate; ambiguous ones count."""
-    return values.where((F.col("quality") == "OK") & (F.col("candidate_rank") == 1) & F.col("param_code").isNotNull())
+    """Values that conflicts may rest on: quality OK and first candidate; ambiguous ones count. A limit (basis ГПЗУ, where values have a basis) is no value of the design."""
+    own = values.where(F.coalesce(F.col("basis"), F.lit("")) != "ГПЗУ") if "basis" in values.columns else values
+    return own.where((F.col("quality") == "OK") & (F.col("candidate_rank") == 1) & F.col("param_code").isNotNull())
 
 
 def without_other_subject(values: DataFrame, pattern: str, text_col: str = "context_text") -> DataFrame:
@@ -110,6 +111,12 @@ def agreed_across_stages(values: DataFrame, keys: list[str], value_col: str = "v
     return values.groupBy(*keys, value_col).agg(F.count_distinct(stage_col).alias("stages")).where(F.col("stages") >= least)
 
 
+def shared_value(values: DataFrame, keys: list[str], value_col: str = "value", stage_col: str = "stage", confidence: str = "confidence", least: int = 2) -> DataFrame:
+    """(keys, value, stages): of the readings that at least `least` stages print, the one of most stages, then the surest, then the lowest."""
+    agreed = values.groupBy(*keys, value_col).agg(F.count_distinct(stage_col).alias("stages"), F.max(confidence).alias("_c")).where(F.col("stages") >= least)
+    return agreed.groupBy(*keys).agg(F.min_by(F.struct(value_col, "stages"), F.struct(-F.col("stages"), -F.col("_c"), value_col)).alias("_r")).select(*keys, "_r.*")
+
+
 def clusters(values: DataFrame, keys: list[str], order: list[str], value_col: str, tolerance: float, schema: str) -> DataFrame:
     """Greedy clusters: in order, a value joins the first cluster whose head agrees within the relative tolerance, else heads a new one.
 

@@ -193,8 +193,7 @@ def partial_progress(spark, d):
 
 
 def ring_buffer(spark, d):
-    w = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    return W.load(spark, d, "events").withColumn("_n", F.row_number().over(w)).where("_n <= 20").select("event_type", "event_id")
+    return R.last_rows(W.load(spark, d, "events"), "event_type", [F.desc("ts"), F.desc("event_id")]).select("event_type", "event_id")
 
 
 def sessions(spark, d):
@@ -262,6 +261,6 @@ SQL = {
  z AS (SELECT unnest(g) AS v FROM s WHERE step = (SELECT max(step) FROM s)) SELECT v.d AS decision, v.n AS n, v.t / 10 AS percent FROM z""",
     "verification_summary": f"WITH {W.DECISIONS} SELECT object_id, count(*) AS n, {_REPORT}, count(DISTINCT check_id) AS checks FROM decisions GROUP BY 1",
     "partial_progress": f"WITH {_LATEST}, g AS (SELECT CAST(check_id % 25 AS INTEGER) AS group_id, count(*) FILTER (decision = 'CONFIRMED_VIOLATION') AS confirmed, count(*) AS n FROM latest GROUP BY 1) SELECT * FROM g WHERE confirmed > 0 AND confirmed < n",
-    "ring_buffer": "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 20",
+    "ring_buffer": "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 500",
     "sessions": "WITH f AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR date_diff('second', lag(ts) OVER w, ts) > 21600 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session FROM f) SELECT user_id, session, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY ALL",
 }

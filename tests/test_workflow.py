@@ -53,3 +53,27 @@ def test_files_and_evidence(spark):
     assert {x["k"]: (x["name"], x["active"]) for x in K.overridden(o, spark.createDataFrame([(2, None, False)], "k int, name string, active boolean"), "k", ["name", "active"]).collect()} == {1: ("a", True), 2: ("b", False)}
     with pytest.raises(ValueError, match="lacks"):
         K.rules_table('{"rules": [{"id": 1}]}')
+
+
+def test_shared_values_sentences_and_keys(spark):
+    from tallyframe.functions import text as T
+    from tallyframe.operators import reports, sequences, values
+
+    v = spark.createDataFrame([("k", 1, "PD", 0.5), ("k", 1, "RD", 0.9), ("k", 2, "PD", 0.99), ("k", 2, "ID", 0.2), ("k", 3, "ID", 1.0)], "k string, value int, stage string, confidence double")
+    assert [tuple(r) for r in values.shared_value(v, ["k"]).collect()] == [("k", 2, 2)]
+    t = spark.createDataFrame([("OK", 1, "p", "ГПЗУ"), ("OK", 1, "p", None)], "quality string, candidate_rank int, param_code string, basis string")
+    assert values.trusted(t).count() == 1 and values.trusted(t.drop("basis")).count() == 2
+    assert one(spark, T.whole_sentences(F.lit("См. рис. 5 на стр. 7. Далее А. Петров. Конец!"))) == ["См. рис. 5 на стр. 7.", "Далее А. Петров.", "Конец!"]
+    assert [one(spark, T.location_key(F.lit(x).cast("string"), m)) for x, m in ((" Пом. № 012-а", "light"), ("Помещение 012-а", "relaxed"), (" x", "strict"), (None, "light"))] == ["012-а", "12а", " x", "object"]
+    assert one(spark, T.sorted_json_sha256(b=F.lit(1), a=F.lit(None).cast("string"))) == one(spark, F.sha2(F.lit('{"a":null,"b":1}'), 256))
+    marks = spark.createDataFrame([("r", "В1.2"), ("r", "В1.3"), ("r", "В1.3"), ("r", "П2")], "r string, m string")
+    assert {x["system"]: x["marks"] for x in T.system_counts(marks, ["r"], "m").collect()} == {"В1": 2, "П2": 1}
+    x, y = T.cropped_point(F.lit(0.5), F.lit(0.5), (0.25, 0.0, 0.75, 1.0))
+    assert (one(spark, x), one(spark, y)) == (0.5, 0.5)
+    assert tuple(one(spark, reports.indicator_reason(F.lit(0), F.lit(2), F.lit(1)))) == ("YELLOW", "pending=2")
+    assert tuple(one(spark, reports.indicator_reason(F.lit(0), F.lit(0), F.lit(0)))) == ("NONE", "no decisions")
+    n = spark.createDataFrame([(k, k % 2) for k in range(7)], "k int, g int")
+    assert [(r["k"], r["total"]) for r in sequences.page_with_total(n, [F.col("k")], 2, 2).collect()] == [(2, 7), (3, 7)]
+    first, passed = sequences.first_of_key(n, ["g"], ["k"])
+    assert sorted(tuple(r) for r in first.collect()) == [(0, 0), (1, 1)] and {r["g"]: r["passed_over"] for r in passed.collect()} == {0: 3, 1: 2}
+    assert reports.last_rows(n, "g", [F.desc("k")], 1).count() == 2
