@@ -52,7 +52,11 @@ def value_text(c: Column) -> Column:
 
 def quantity(c: Column) -> Column:
     """struct(dimension, magnitude in the smallest unit) of a number with a known unit or none; null for anything else."""
-    text = value_text(c)
+    return quantity_of(value_text(c))
+
+
+def quantity_of(text: Column) -> Column:
+    """The quantity of a value text in its one form."""
     number, unit = (F.regexp_extract(text, r"^([-+]?\d+(?:\.\d+)?)\s*([a-zа-я²³/%°]*)$", k) for k in (1, 2))
     known = F.create_map(*[x for k, (d, f) in UNITS.items() for x in (F.lit(k), F.struct(F.lit(d).alias("dimension"), F.lit(f).alias("factor")))])
     of = F.try_element_at(known, unit)
@@ -93,6 +97,17 @@ def value_match(a: Column, b: Column, least: float = SIMILAR) -> Column:
     return F.when(blank(a) & blank(b), 1.0).when(blank(a) | blank(b), 0.0).otherwise((value_similarity(a, b) >= least).cast("double"))
 
 
+def matched_values(rows: DataFrame, a: Column, b: Column, name: str = "score", least: float = SIMILAR) -> DataFrame:
+    """rows with value_match(a, b), step by step: each normal form and each quantity is made once a row."""
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    steps = rows.withColumns({"_ba": blank(a), "_bb": blank(b), "_ta": value_text(a), "_tb": value_text(b)}).withColumns({"_qa": quantity_of(F.col("_ta")), "_qb": quantity_of(F.col("_tb"))})
+    same = (F.col("_qa.dimension") == F.col("_qb.dimension")) | (F.col("_qa.dimension") == "") | (F.col("_qb.dimension") == "")
+    close = F.abs(F.col("_qa.magnitude") - F.col("_qb.magnitude")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(F.col("_qa.magnitude")))
+    like = F.when(F.col("_qa").isNotNull() & F.col("_qb").isNotNull(), same & close).when(F.col("_ta") == F.col("_tb"), True).otherwise(indel_ratio("_ta", "_tb") >= least)
+    out = F.when(F.col("_ba") & F.col("_bb"), 1.0).when(F.col("_ba") | F.col("_bb"), 0.0).otherwise(like.cast("double"))
+    return steps.withColumn(name, out).drop("_ba", "_bb", "_ta", "_tb", "_qa", "_qb")
+
+
 def parsed_code(c: Column, ranges: list[tuple[str, int, int]]) -> Column:
     """struct(number, prefix, canonical, mismatch) of «PREFIX-number» against ranges (prefix, first, last); M-number has no prefix of its own. Null for anything else."""
     text = F.translate(F.upper(F.trim(c)), "–—", "--")

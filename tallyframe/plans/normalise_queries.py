@@ -33,7 +33,7 @@ def value_matches(spark, d):
     """Sizes in centimetres beside the same in millimetres (wrong for every seventh), blanks for every eleventh."""
     cm = F.when(F.col("p_partkey") % 11 == 0, "").otherwise(F.concat(F.col("p_size").cast("string"), F.lit(" см")))
     mm = F.when(F.col("p_partkey") % 22 == 0, " ").otherwise(F.concat((F.col("p_size") * 10 + F.when(F.col("p_partkey") % 7 == 0, 1).otherwise(0)).cast("string"), F.lit(",0 мм")))
-    return _part(spark, d).select("p_partkey", N.value_match(cm, mm).alias("score"))
+    return N.matched_values(_part(spark, d), cm, mm).select("p_partkey", "score")
 
 
 def parsed_codes(spark, d):

@@ -39,6 +39,8 @@ def test_values(spark):
     pairs = [("10 см", "100 мм", 1.0), ("10", "10 м", 0.0), ("10", "10 мм", 1.0), ("бетон B25", "бетон В25", 1.0), ("бетон", "кирпич", 0.0), (None, " ", 1.0), (None, "x", 0.0)]
     for a, b, want in pairs:
         assert one(spark, N.value_match(F.lit(a).cast("string"), F.lit(b).cast("string"))) == want, (a, b)
+    rows = spark.createDataFrame([(a, b, w) for a, b, w in pairs], "a string, b string, want double")
+    assert all(r["score"] == r["want"] for r in N.matched_values(rows, F.col("a"), F.col("b")).collect())
     assert N.matching_signs("abcbdab", "bdcaba") == 4 and N.matching_signs("", "x") == 0
     assert one(spark, N.approved_critical(F.lit("Критическое (требует утверждения)"))) is False
     assert one(spark, N.approved_critical(F.lit(" «Критическое»".replace("«", "").replace("»", "")))) is True
