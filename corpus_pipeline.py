@@ -12,27 +12,40 @@ from tallyframe.llm.common import documents, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Null texts and sites are judged like any other; repeated rows and null ids stay; without labels all is kept; an empty table stays empty.
+    """
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
+    """Of equal texts, the row with the largest doc_id.
+
+    Null counts as empty; a null id stays only where its text has no other; of repeated rows one stays.
+    """
     return exact_dedup.deduplicated(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more), the row with the least doc_id."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more), the row with the least doc_id.
+
+    SimHash links by anchor-point covering come first, then those that its 3 bits can't reach (see near_copies). Null ids come last; of one id the least hash of
+    text stays; texts without words are copies of each other.
+    """
     return near_copies.deduplicated(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none; null items and items without words are left out; an empty benchmark keeps all.
+    """
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and decoded text of what is left, as digests."""
+    """Token ids and decoded text of what is left, as digests; null and blank texts have no ids; repeated rows and null ids stay."""
     return bpe.encoded(docs, full=False)
 
 
