@@ -79,7 +79,7 @@ def test_directions_span_the_items(spark):
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
 def test_pipeline_on_the_smallest_tables(spark):
     import corpus_pipeline
-    from tallyframe.llm import bpe, exact_dedup, quality, simhash
+    from tallyframe.llm import bpe, exact_dedup, quality
     from tallyframe.llm.common import documents, table
 
     d = "/root/testdata/sf0.001"
@@ -98,9 +98,11 @@ def test_pipeline_on_the_smallest_tables(spark):
     for i in sorted(keep):
         last[all_[i]] = i
     assert set(at["exact_dedup"]) == set(last.values())
-    fps = {i: simhash.fingerprint(all_[i]) & (1 << 64) - 1 for i in last.values()}
+    words = {i: all_[i].encode().lower().split() for i in last.values()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    linked = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     seen, roots = set(), set()
-    for i in sorted(fps):
+    for i in sorted(sets):
         if i not in seen:
             roots.add(i)
             todo = [i]
@@ -108,7 +110,7 @@ def test_pipeline_on_the_smallest_tables(spark):
                 a = todo.pop()
                 if a not in seen:
                     seen.add(a)
-                    todo += [b for b in fps if b not in seen and (fps[a] ^ fps[b]).bit_count() <= 3]
+                    todo += [b for b in sets if b not in seen and linked(a, b)]
     assert set(at["near_dedup"]) == roots
     items = [x["text"] for x in table(spark, d, "benchmark").collect()]
     assert not any(t in all_[i] for t in items for i in at["decontamination"])
@@ -128,3 +130,21 @@ def test_sql(spark, name):
     want = con.sql(registry.SQL[name])
     got = registry.QUERIES[name](spark, "/root/testdata/sf0.001").select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_run_with_nulls_empty_tables_and_more_columns(spark, tmp_path):
+    """run() itself, on a folder with null ids, null and empty texts, repeated rows and columns of clashing names; and on an empty table."""
+    import corpus_pipeline
+
+    src = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(None, "a text that has no id of its own at all", "en", "s"), (90001, None, None, None), (90002, "", "en", "s"), (90003, "twice the same row", "en", "s"), (90003, "twice the same row", "en", "s")], "doc_id bigint, text string, lang string, source string")
+    more = src.unionByName(odd, allowMissingColumns=True).selectExpr("*", "1 as row", "'n' as name", "2 as term")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    more.write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [x["doc_id"] for x in out]
+    assert len(ids) == len(set(ids)) and set(ids) <= {x["doc_id"] for x in more.select("doc_id").collect()}
+    more.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
