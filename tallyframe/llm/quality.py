@@ -4,11 +4,11 @@
    most FIT_ROWS labelled documents (those of least hash of id; a documented bound), on the driver.
 2. Grouped aggregation over all documents gives each path (host and path) and each host its number of documents and the
    sum of their posteriors. Rates shrink: a path towards its host's rate, a host towards the global one, each as a Beta prior whose weight is estimated from the spread between
-   groups (moments), so sparse sites keep near the prior.
+   groups (moments), so sparse sites keep near the prior. A document's own posterior is left out of the rates that it is judged by.
 3. Posterior log-odds = the document's own log-odds + log-odds of its path's rate - log-odds of the global rate.
 
-At scale: two small aggregations that combine before the shuffle. Site rates meet documents by a broadcast join when the
-table of sites has at most BROADCAST_SITES rows, else by a sort-merge join that Spark splits where a site is hot.
+At scale: two small aggregations that combine before the shuffle. The stored table of sites meets documents by the join that Spark
+picks for its size; a sort-merge join is split where a site is hot.
 """
 
 from __future__ import annotations
@@ -20,10 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored, table
+from .common import documents, least_hashed, stored, table
 
 FIT_ROWS = 20_000
-BROADCAST_SITES = 100_000
 ACCEPT = 0.5
 FEATURES = 10
 _UPPER = bytes(range(65, 91))
@@ -104,7 +103,7 @@ def _weight(groups: DataFrame, rate: str, prior: Column) -> float:
 def model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
     """Weights of the document classifier. Null ids, labels other than 0 and 1, and ids that have two labels are left out."""
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(label_col).alias("_good"), F.max(label_col).alias("_most")).where("_good = _most")
-    chosen = known.select(id_col, "_good").orderBy(F.xxhash64(id_col), id_col).limit(fit_rows)
+    chosen = least_hashed(known.select(id_col, "_good", F.xxhash64(id_col).alias("_h")), "_h", fit_rows, [id_col]).drop("_h")
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(_features(F.col(text_col)).alias("shape"), F.col("_good").cast("double").alias("good")).toPandas()
     shapes = np.array(rows["shape"].tolist(), float).reshape(len(rows), FEATURES)
     return fit(shapes, rows["good"].to_numpy(float))
@@ -126,13 +125,14 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total = hosts.agg(F.sum("k"), F.sum("n")).first()
     overall = ((total[0] or 0.0) + 0.5) / ((total[1] or 0) + 1)
     m_host = _weight(hosts.withColumn("rate", F.col("k") / F.col("n")), "rate", F.lit(overall))
-    hosts = hosts.select("_q_host", ((F.col("k") + m_host * overall) / (F.col("n") + m_host)).alias("_q_host_rate"))
-    sites = paths.join(hosts, "_q_host")
-    m_path = _weight(sites.withColumn("rate", F.col("k") / F.col("n")), "rate", F.col("_q_host_rate"))
-    sites = stored(sites.select("_q_host", "_q_path", "_q_host_rate", ((F.col("k") + m_path * F.col("_q_host_rate")) / (F.col("n") + m_path)).alias("_q_path_rate")), "sites")
-    few = sites.count() <= BROADCAST_SITES
-    out = own.join(F.broadcast(sites) if few else sites, ["_q_host", "_q_path"])
-    out = out.withColumn("_q_doc_score", chance).withColumn("_q_score", 1 / (1 + F.exp(-(F.col("_q_own") + logit(F.col("_q_path_rate")) - float(np.log(overall / (1 - overall)))))))
+    hosts = hosts.select("_q_host", F.col("n").alias("_q_hn"), F.col("k").alias("_q_hk"))
+    sites = stored(paths.join(hosts, "_q_host").select("_q_host", "_q_path", "_q_hn", "_q_hk", F.col("n").alias("_q_n"), F.col("k").alias("_q_k")), "sites")
+    m_path = _weight(sites.withColumns({"rate": F.col("_q_k") / F.col("_q_n"), "n": F.col("_q_n")}), "rate", (F.col("_q_hk") + m_host * overall) / (F.col("_q_hn") + m_host))
+    out = own.join(sites, ["_q_host", "_q_path"]).withColumn("_q_doc_score", chance)
+    others = lambda k, n, m, prior: (F.greatest(F.col(k) - F.col("_q_doc_score"), F.lit(0.0)) + m * prior) / (F.col(n) - 1 + m)
+    out = out.withColumn("_q_host_rate", others("_q_hk", "_q_hn", m_host, F.lit(overall)))
+    out = out.withColumn("_q_path_rate", others("_q_k", "_q_n", m_path, F.col("_q_host_rate"))).drop("_q_hn", "_q_hk", "_q_n", "_q_k")
+    out = out.withColumn("_q_score", 1 / (1 + F.exp(-(F.col("_q_own") + logit(F.col("_q_path_rate")) - float(np.log(overall / (1 - overall)))))))
     return out.withColumn("_q_keep", F.col("_q_score") >= ACCEPT).drop("_q_own")
 
 

@@ -2,8 +2,10 @@
 
 Tokens are runs without white space; their features are the word, its beginnings and its endings, hashed. Only documents have
 labels, so tokens are labelled first: in toxic training documents those whose word or beginning occurs nearly only in toxic
-training documents (counted by grouped aggregation over at most COUNT_DOCS a class), none in clean ones; after a first fit, the field's own
-marginals in toxic documents add labels. The chain runs over windows of WINDOW tokens, which together cover the text.
+training documents (counted by grouped aggregation over at most COUNT_DOCS a class, of which near copies that agree in their least
+shingles count once) and in SUPPORT of the toxic ones at least, none in clean ones; after a first fit, the field's own
+marginals in toxic documents add labels. A text is one chain: it is cut into blocks of WINDOW tokens, the blocks' transfer matrices carry the forward
+and backward messages over the cuts, and so all blocks of all texts are worked on side by side. The fit counts moves within blocks only.
 Forward-backward marginals give the tagged spans and, by a logistic map of the largest marginal and of their sum
 (fitted on training documents), the document's score.
 
@@ -22,12 +24,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, table
+from .common import documents, least_hashed, stored, table
 
 FIT_DOCS = 2500
 COUNT_DOCS = 20_000
 FIT_CHARS = 20_000
-LEXICON = 20_000
+SUPPORT = 0.002
 WINDOW = 64
 WEIGHTS = 1 << 18
 _EDGE = ".,;:!?\"'()[]{}<>*#%&$|-_"
@@ -47,6 +49,14 @@ def slots(token: str) -> list[int]:
     return [zlib.crc32(k.encode("utf-8", "surrogatepass")) % WEIGHTS for k in keys(token)]
 
 
+def least_shingle(text: str, words: int = 5) -> int:
+    """Least hash of the word shingles of a text: near copies often agree in it."""
+    import xxhash
+
+    w = text.split()
+    return min((xxhash.xxh64_intdigest(" ".join(w[k : k + words]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(w) - words + 1))), default=0) >> 1
+
+
 def _windows(lengths: np.ndarray) -> tuple[np.ndarray, int]:
     """Where in a (windows, WINDOW) matrix each token of consecutive texts goes, and the number of windows."""
     count = -(-lengths // WINDOW)
@@ -81,6 +91,45 @@ def marginals(u: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (both[:, :, 1] / both.sum(2)).T, moved
 
 
+def chain_marginals(u: np.ndarray, real: np.ndarray, rank: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Chances of label 1 for blocks (rows of u) of whole chains: rank is a block's place in its chain, blocks of a chain stand one after another, real marks tokens
+    (a chain's last block may have fewer). The same as forward-backward over each whole chain."""
+    n, width = u.shape
+    gain = np.exp(np.clip(u, -30, 30))
+    step = np.exp(move)
+    first = rank == 0
+    ahead, now = np.empty((width, n, 2, 2)), np.broadcast_to(np.eye(2), (n, 2, 2))  # rows: which label the block before ended with
+    for t in range(width):
+        new = now @ step
+        if t == 0:
+            new[first] = 1.0  # a chain starts with either label
+        new[:, :, 1] *= gain[:, t, None]
+        new /= new.sum((1, 2), keepdims=True)
+        now = np.where(real[:, t, None, None], new, now)
+        ahead[t] = now
+    behind, now = np.empty((width, n, 2, 2)), np.broadcast_to(np.eye(2), (n, 2, 2))  # columns: the message behind the block's last token
+    for t in range(width - 1, -1, -1):
+        behind[t] = now
+        new = now.copy()
+        new[:, 1] *= gain[:, t, None]
+        new = step @ new
+        new /= new.sum((1, 2), keepdims=True)
+        now = np.where(real[:, t, None, None], new, now)
+    before, after = np.full((n, 2), 0.5), np.full((n, 2), 0.5)
+    order = np.argsort(rank, kind="stable")
+    cuts = np.searchsorted(rank[order], np.arange(1, int(rank.max(initial=0)) + 2))
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        k = order[s:e]
+        x = (before[k - 1, None] @ ahead[-1, k - 1])[:, 0]
+        before[k] = x / x.sum(1, keepdims=True)
+    for s, e in zip(cuts[:-1][::-1], cuts[1:][::-1], strict=True):
+        k = order[s:e]
+        x = (now[k] @ after[k, :, None])[:, :, 0]
+        after[k - 1] = x / x.sum(1, keepdims=True)
+    both = (before[None, :, None] @ ahead)[:, :, 0] * (behind @ after[None, :, :, None])[..., 0]
+    return (both[:, :, 1] / both.sum(2)).T
+
+
 class Field:
     def __init__(self) -> None:
         self.weights = np.zeros(WEIGHTS, np.float32)
@@ -121,10 +170,13 @@ class Field:
             if not n:
                 out += [np.zeros(0)] * (end - begin)
                 continue
-            u = np.full(n * WINDOW, -30.0)
+            u, real = np.zeros(n * WINDOW), np.zeros(n * WINDOW, bool)
             unary = self.unary
             u[at] = [unary(w) for t in texts[begin:end] for w in t]
-            m, _ = marginals(u.reshape(n, WINDOW), self.move)
+            real[at] = True
+            blocks = -(-lengths[begin:end] // WINDOW)
+            rank = np.arange(n) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            m = chain_marginals(u.reshape(n, WINDOW), real.reshape(n, WINDOW), rank, self.move)
             out += np.split(m.ravel()[at], np.cumsum(lengths[begin:end])[:-1])
         return out
 
@@ -198,12 +250,13 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS, count_docs: int = COUNT_DOCS) -> Field:
-    """Fit on labelled documents that are not held out. Null ids, null labels and ids labelled both ways are left out; without toxic labels nothing is tagged."""
+    """Fit on labelled documents that are not held out. Null ids, null labels and ids labelled both ways are left out; of an id with several texts the least hash counts; without toxic labels nothing is tagged."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.min(label_col).alias("_toxic"), F.max(label_col).alias("_most")).where("_toxic = _most").drop("_most")
     ranked = known.withColumn("_h", F.xxhash64(id_col))
     texts_of = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text"))
-    few = lambda n: F.broadcast(ranked.where("_toxic = 0").orderBy("_h", id_col).limit(n).unionAll(ranked.where("_toxic = 1").orderBy("_h", id_col).limit(n)).drop("_h"))
-    rows = texts_of.join(few(count_docs), id_col)
+    few = lambda n: F.broadcast(least_hashed(ranked.where("_toxic = 0"), "_h", n, [id_col]).unionAll(least_hashed(ranked.where("_toxic = 1"), "_h", n, [id_col])).drop("_h"))
+    least = F.pandas_udf(lambda t: t.map(least_shingle), "bigint")
+    rows = texts_of.join(few(count_docs), id_col).groupBy(least("_text").alias("_s"), "_toxic").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each word and each beginning of each text once, as counts of clean and toxic texts in this partition."""
@@ -214,12 +267,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     count.setdefault(k, [0, 0])[int(toxic)] += 1
         yield pd.DataFrame([(k, *v) for k, v in count.items()], columns=["k", "clean", "toxic"])
 
-    counts = rows.select("_text", "_toxic").mapInPandas(parts, "k string, clean long, toxic long").groupBy("k").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    sure = counts.where("toxic >= 3 and toxic >= 19 * clean").orderBy(F.desc("toxic"), "k").limit(LEXICON)
-    lexicon = {r["k"]: r["toxic"] for r in sure.collect()}
-    floor = max(3, max(lexicon.values(), default=0) // 40)  # words that copies of one text share stay below it
-    lexicon = {k for k, n in lexicon.items() if n >= floor}
-    some = texts_of.where(F.length("_text") <= fit_chars).join(few(fit_docs), id_col).select("_text", "_toxic", id_col).dropDuplicates([id_col]).toPandas().sort_values(id_col)
+    rows = stored(rows.select("_text", "_toxic"), "toxicity-texts")  # bounded by count_docs a class
+    offending = rows.where("_toxic = 1").count()
+    counts = rows.mapInPandas(parts, "k string, clean long, toxic long").groupBy("k").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    lexicon = {r["k"] for r in counts.where((F.col("toxic") >= max(3, math.ceil(SUPPORT * offending))) & F.expr("toxic >= 19 * clean")).collect()}  # 1 / SUPPORT times the words of a text at most
+    one = F.min_by("_text", F.xxhash64("_text")).alias("_text")
+    some = texts_of.where(F.length("_text") <= fit_chars).join(few(fit_docs), id_col).groupBy(id_col, "_toxic").agg(one).toPandas().sort_values(id_col)
     texts = [t.split() for t in some["_text"]]
     toxic = some["_toxic"].to_numpy(float)
     field = Field()
