@@ -141,3 +141,67 @@ def test_forest_column_equals_the_trees(spark):
     got = [v[0] for v in df.select(secrets.compiled(trees)).collect()]
     assert got == pytest.approx([sum(walk(t, x) for t in trees) / 3 for x, _ in rows])
     assert df.select(secrets.compiled([0.5])).first()[0] == 0.5
+
+
+def test_chain_over_blocks_equals_one_long_chain():
+    rng = np.random.default_rng(4)
+    move = np.array([[0.0, -1.5], [-0.7, 1.2]])
+    lengths = np.array([1, 5, toxicity.WINDOW, toxicity.WINDOW + 1, 3 * toxicity.WINDOW - 1, 1000])
+    field = toxicity.Field()
+    field.move = move
+    texts = [[f"w{rng.integers(50)}" for _ in range(n)] for n in lengths] + [[]]
+    field.known = {f"w{k}": float(x) for k, x in enumerate(rng.normal(0, 3, 50))}
+    for t, got in zip(texts, field.tagged(texts), strict=True):
+        if t:
+            want, _ = toxicity.marginals(np.array([[field.known[w] for w in t]]), move)
+            assert np.abs(got - want[0]).max() < 1e-9
+        else:
+            assert len(got) == 0
+
+
+def test_url_models_equal_a_plain_computation():
+    """Witten-Bell by recursion over counts of every context, whole urls, against the operator's models."""
+    good = [f"a{k}.com/en/page-{k * k}?" for k in range(40)] + ["x.com/" + "deep/" * 100]
+    bad = [f"b{k}.net/es/{k}/spam" for k in range(40)]
+    ratio = url_filter.Ratio(good, bad)
+    held = lambda u: zlib.crc32(u.encode()) % 4 == 0
+
+    def plain(texts, gram):
+        if len(gram) == 1:
+            seen = [c for t in texts for c in t[5:]]
+            return (seen.count(gram) + len(set(seen)) / 256) / (len(seen) + len(set(seen)))
+        after = [t[i] for t in texts for i in range(5, len(t)) if t[: i].endswith(gram[:-1])]
+        shorter = plain(texts, gram[1:])
+        return shorter if len(after) < 2 else (after.count(gram[-1]) + len(set(after)) * shorter) / (len(after) + len(set(after)))
+
+    pad = lambda us: ["\x02" * 5 + u + "\x03" for u in us if not held(u)]
+    for url in (good[3], bad[5], "new.org/" + "deep/" * 60, ""):
+        t = "\x02" * 5 + url + "\x03"
+        want = sum(np.log(plain(pad(good), t[i - 5 : i + 1]) / plain(pad(bad), t[i - 5 : i + 1])) for i in range(5, len(t))) / (len(url) + 1)
+        assert ratio(url) == pytest.approx(want, abs=1e-9)
+
+
+def test_long_urls_and_clashing_columns(spark):
+    urls = [(k, f"http://{h}/p{k}", "h", "v") for k, h in enumerate(["a.com", "www.example.com/en", "b.net/es", "c.org"] * 20)] + [(900, "http://a.com/" + "x" * 50_000, "h", "v"), (901, None, None, None), (902, "no scheme", "h", "v"), (902, "no scheme", "h", "v")]
+    df = spark.createDataFrame(urls, "page_id bigint, url string, host string, verdict string")
+    out = url_filter.judged(df).collect()
+    assert len(out) == len(urls) and all(x["_u_verdict"] in ("allow", "block") for x in out)
+    assert url_filter.judged(df.limit(0), model=url_filter.Ratio([], [])).collect() == []
+
+
+def test_own_posterior_is_left_out_of_rates(spark):
+    rows = [(1, prose(40), "en", "solo")] + [(10 + k, prose(40), "en", "other") for k in range(50)] + [(100 + k, " ".join(w.upper() + "!!" for w in prose(30).split()), "en", "other") for k in range(50)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, *_ in rows[1:]], "doc_id bigint, quality int")
+    got = {x["doc_id"]: x for x in quality.judged(frame(spark, rows), labels).collect()}
+    assert got[1]["_q_path_rate"] == pytest.approx(got[1]["_q_host_rate"]) and 0.3 < got[1]["_q_host_rate"] < 0.7
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 2990, 3000, 4000])
+def test_least_hashed_rows_are_the_least(spark, n):
+    from pyspark.sql import functions as F
+
+    from tallyframe.llm.common import least_hashed
+
+    rows = spark.range(3000).select("id", F.xxhash64("id").alias("h"))
+    want = sorted((x["h"], x["id"]) for x in rows.collect())[:n]
+    assert sorted((x["h"], x["id"]) for x in least_hashed(rows, "h", n, ["id"]).collect()) == want
