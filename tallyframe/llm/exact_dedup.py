@@ -1,11 +1,12 @@
 """Exact dedup by deterministic block naming.
 
-Each text is cut into blocks of a fixed number of characters. The distinct blocks are sorted and their
-ranks become integer names; then adjacent names are paired, the distinct pairs sorted and named again,
+Each text is cut into blocks of a fixed number of characters. The distinct blocks are sorted by a 128-bit reference and their
+ranks, 1, 2, 3, ..., become integer names; then adjacent names are paired, the distinct pairs sorted and named again,
 until one name stands for each whole text. Two texts get the same (level, name) if and only if they are equal:
-a name stands for one block or one pair, and never for two.
+a name stands for one block or one pair, and never for two. Names depend on the texts alone, not on partitions.
 
-At scale: the contents of blocks are shuffled once, deduplicated before the shuffle. Rows meet names by a
+At scale: the contents of blocks are shuffled once, deduplicated before the shuffle. Ranks are found within BUCKETS ranges of the hash that
+comes first in the order, and only the ranges' counts are summed up over all. Rows meet names by a
 128-bit reference of the block; that no two distinct blocks share a reference is verified on the contents
 (least and greatest block of each reference are compared; a difference stops the job), so identity never rests on a hash.
 A group of copies makes one distinct block, and the join that takes names back to rows is a sort-merge join
@@ -14,17 +15,21 @@ of which Spark splits skewed partitions. Each level is a written table, so lost
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, stored
 
 BLOCK = 4096
+BUCKETS = 4096
 
 
-def _named(values: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
-    """Distinct values sorted within hash partitions; the integer name is partition and rank, from 1."""
-    return stored(values.sortWithinPartitions(*order).select(*by, (F.monotonically_increasing_id() + 1).alias("name")), name)
+def _named(values: DataFrame, by: list[str], first: Column, name: str) -> DataFrame:
+    """Distinct values with their rank, from 1, in the order of `first` (64 bits of hash) and `by`."""
+    kept = stored(values.select(*by, first.alias("_x")).withColumn("_bucket", F.shiftrightunsigned("_x", 64 - BUCKETS.bit_length() + 1)), name)
+    before = kept.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_x", *by))
+    return kept.withColumn("_rank", rank).join(F.broadcast(before), "_bucket").select(*by, (F.col("_before") + F.col("_rank")).alias("name"))  # BUCKETS rows
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -43,7 +48,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     same = F.when(F.col("least") != F.col("greatest"), F.raise_error(F.lit("two blocks share a 128-bit reference"))).otherwise(F.col("least"))
     blocks = rows.groupBy("r1", "r2").agg(F.min("block").alias("least"), F.max("block").alias("greatest")).select("r1", "r2", same.alias("block"))
-    names = _named(blocks, ["r1", "r2"], ["block"], "block-names")
+    names = _named(blocks.where("block is not null"), ["r1", "r2"], F.col("r1"), "block-names")
     level = 0
     now = stored(rows.drop("block").join(names, ["r1", "r2"]).groupBy("id", "sha", "nb", "pos").agg(F.max("name").alias("name"), F.count("*").alias("copies")), "level-0")
     most = now.agg(F.max("nb")).first()[0] or 1
@@ -55,7 +60,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("n1"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(0)).alias("n2"), F.max("copies").alias("copies"))
         )
         pairs = stored(pairs, f"pairs-{level + 1}")
-        names = _named(pairs.select("n1", "n2").distinct(), ["n1", "n2"], ["n1", "n2"], f"pair-names-{level + 1}")
+        names = _named(pairs.select("n1", "n2").distinct(), ["n1", "n2"], F.xxhash64("n1", "n2"), f"pair-names-{level + 1}")
         level += 1
         now = stored(pairs.join(names, ["n1", "n2"]).select("id", "sha", "nb", "pos", "name", "copies"), f"level-{level}")
         done.append(now.where(F.col("nb").between(2 ** (level - 1) + 1, 2**level)).select("id", "sha", "copies", F.lit(level).alias("level"), "name"))

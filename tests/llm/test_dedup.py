@@ -102,3 +102,29 @@ def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(20)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {k: 0 for k in range(1, 21)} | {k: 100 for k in range(101, 130)}
+
+
+def test_names_do_not_depend_on_partitions(spark):
+    rows = [(k, f"text {k % 37} " * (1 + k % 9)) for k in range(300)] + [(900, None), (901, ""), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = []
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("2", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(map(str, exact_dedup.identities(docs.repartition(int(n)), block=16).select("id", "level", "name").collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert found[0] == found[1]
+
+
+def test_stored_tables_can_be_dropped(spark, tmp_path):
+    import os
+
+    from tallyframe.llm import common
+
+    common._STORED.pop(spark.sparkContext.applicationId, None)
+    common.stored(spark.range(3), "to-drop")
+    folder = common.shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    assert any(n.startswith("to-drop-") for n in os.listdir(folder))
+    assert common.drop_stored(spark) == 1 and not any(n.startswith("to-drop-") for n in os.listdir(folder))
