@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_of_each, ordered_row, stored
+from .common import one_of_each, ordered_row, release, stored
 from .components import components
 from .simhash import CHUNK, SEED, links, spans
 
@@ -125,6 +125,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def similar(pairs: DataFrame) -> DataFrame:
         """Those of (a, b) that are."""
         pairs = stored(pairs, "near-candidates")
+        release(spark)
         names = pairs.select(F.col("a").alias("name")).unionAll(pairs.select(F.col("b").alias("name"))).distinct()
         texts = kinds.join(names, "name").select("name", F.col("row.key").alias("key"))
         wanted = rows.select(F.col("row.key").alias("key"), "text").join(texts, "key").select("name", "text")
@@ -153,6 +154,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fewest = entries.groupBy("name", "n").agg(F.count("*").alias("c"), F.greatest(F.min("lo"), F.ceil(F.lit(least) * F.col("n"))).alias("lo"), F.least(F.max("hi"), F.floor(F.col("n") / least)).alias("hi"))
     can = fewest.where(F.col("c") >= F.least(needed("n", "lo"), needed("n", "hi") - 1)).select("name", "c")  # fewer are needed the more the sizes differ; 1 for rounding
     entries = stored(entries.select("h", "i", "name", "n").join(can, "name"), "possible-shingles")
+    release(spark)
 
     def unconnected(roots: DataFrame) -> DataFrame:
         """Entries of the shingles that texts of several roots share, with the root."""
