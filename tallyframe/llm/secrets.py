@@ -3,15 +3,15 @@
 Candidates are all runs of 12 or more key characters in a word that have a digit or change case, and runs of any length and case
 that are assigned to a name of a secret. Features: length, changes between
 character classes, shares of digits, capitals, hexadecimal digits and other signs, distinct characters, dictionary coverage
-(share of the candidate in runs of letters that are among the DICTIONARY most frequent words of all texts), the neighbouring
-words and the path. The forest is fitted on the driver, in plain Python, on at most FIT_FINDINGS labelled findings a class (those of
+(share of the candidate in runs of letters that are words of the dictionary: those that make up at least a DICTIONARYth of all words), the neighbouring
+words, before and after, and the path. The forest is fitted on the driver, in plain Python, on at most FIT_FINDINGS labelled findings a class (those of
 least hash; a documented bound) and compiled to one Column, so all candidates are judged inside the JVM.
 
 Labelled findings: a table (candidate, is_secret), or, without one, findings of formats that are secrets by themselves (key ids of a
 fixed prefix and length, assignments to names of secrets) and such that are none (addresses, numbers, dates, links).
 
 At scale: texts never move; a candidate is a small row. Words are counted with partial sums; the dictionary is broadcast,
-bounded by DICTIONARY. Coverage is found once for each distinct candidate and joined back, a join that Spark splits where one candidate is hot.
+of DICTIONARY words at most by its definition. Coverage is found once for each distinct candidate and joined back, a join that Spark splits where one candidate is hot.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, least_hashed, stored
 
 FIT_FINDINGS = 3000
-DICTIONARY = 20_000
+DICTIONARY = 100_000
 TREES, DEPTH, LEAST = 15, 6, 5
 KEY = "[A-Za-z0-9+/_=.@-]"
 NAMES = "(?i)(secret|token|passw|pwd|api.?key|auth|credential|private|bearer)"
@@ -34,44 +34,41 @@ PART = "[\"'(]*[A-Za-z0-9_.-]*[A-Za-z_.-][\"']?[=:]+[\"'(]*[A-Za-z0-9+/_.@-]" +
 NAMED = "(?i)^[\"'(]*[a-z0-9_.-]*" + NAMES.replace("(?i)", "") + "[a-z0-9_.-]*[\"']?[=:]"
 GATE = KEY + "{12,}|" + NAMES + ".*[=:]"
 PATHS = "(?i)(test|example|sample|mock|fixture|doc)"
-FEATURES = ("size", "changes", "digits", "capitals", "hexadecimal", "signs", "distinct", "covered", "named", "assigned", "quoted", "near_name", "test_path", "at", "dots")
-
-
-def _runs(word: Column, named_before: Column) -> Column:
-    """(candidate, word) of a word, in order: key runs of 12 and more with a digit or a change of case, and runs assigned to a name of a secret.
-
-    The word of several candidates is cut: each has its own name and marks beside it.
-    """
-    parts = F.regexp_extract_all(word, F.lit(PART), F.lit(0))
-    run = lambda x: F.regexp_replace(F.regexp_replace(x, HEAD, ""), "^[\"'(]+", "")
-    plain = lambda x: (F.length(run(x)) >= 12) & (run(x).rlike("[0-9]") | run(x).rlike("[a-z][A-Z]"))
-    kept = F.filter(parts, lambda x, k: (run(x) != "") & (x.rlike(NAMED) | plain(x) | ((k == 0) & named_before)))
-    of = F.transform(kept, lambda x: F.struct(run(x).alias("candidate"), F.when(F.size(kept) == 1, word).otherwise(x).alias("word")))
-    return F.when(word.rlike(GATE) | named_before, of).otherwise(F.array().cast("array<struct<candidate:string,word:string>>"))
+FEATURES = ("size", "changes", "digits", "capitals", "hexadecimal", "signs", "distinct", "covered", "named", "assigned", "quoted", "near_name", "test_path", "at", "dots", "after_name", "after_link")
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """(id, path, word_no, before, word, after, candidate) of every candidate in whole texts.
+    """(id, path, word_no, before, word, after, candidate) of every candidate in whole texts: of each word, in order, key runs of 12 and more with a digit or a change of
+    case, and runs assigned to a name of a secret. The word of several candidates is cut: each has its own name and marks beside it.
 
+    Words that are too short and beside no mark of an assignment are passed over by plain comparisons; the rest are rows before any pattern looks at them.
     Null and empty texts have none; repeated rows give repeated candidates; null ids and paths stay null.
     """
     words = F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+")
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), path.alias("path"), words.alias("w"))
     word = lambda i: F.get("w", i)
-    mark = lambda x: F.coalesce(x.rlike("[=:]$"), F.lit(False))
-    named = lambda i: mark(word(i - 1)) & F.concat_ws("", word(i - 2), word(i - 1)).rlike(NAMES + "[^=:]*[=:]+$") & (word(i - 1).rlike(NAMES) | word(i - 1).rlike("^[=:]+$"))
-    runs = F.filter(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(i.alias("i"), _runs(word(i), named(i)).alias("runs"))), lambda x: F.size(x["runs"]) > 0)
-    hit = lambda x: F.struct(x["i"].alias("word_no"), F.concat_ws(" ", word(x["i"] - 2), word(x["i"] - 1)).alias("before"), F.coalesce(word(x["i"] + 1), F.lit("")).alias("after"), x["runs"].alias("runs"))
-    found = rows.select("id", "path", F.explode(F.transform(runs, hit)).alias("h")).select("id", "path", "h.*")
-    return found.select("id", "path", "word_no", "before", "after", F.explode("runs").alias("r")).select("id", "path", "word_no", "before", "r.word", "after", "r.candidate")
+    mark = lambda x: F.coalesce(x.endswith("=") | x.endswith(":"), F.lit(False))
+    gate = lambda i: (F.length(word(i)) >= 12) | word(i).contains("=") | word(i).contains(":") | mark(word(i - 1))
+    hit = lambda i: F.struct(i.alias("word_no"), word(i - 2).alias("w2"), word(i - 1).alias("w1"), word(i).alias("word"), F.coalesce(word(i + 1), F.lit("")).alias("after"))
+    found = rows.select("id", "path", F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.size("w") - 1), gate), hit)).alias("h")).select("id", "path", "h.*")
+    named = mark(F.col("w1")) & F.concat_ws("", "w2", "w1").rlike(NAMES + "[^=:]*[=:]+$") & (F.col("w1").rlike(NAMES) | F.col("w1").rlike("^[=:]+$"))
+    found = found.withColumn("named", F.coalesce(named, F.lit(False))).where(F.col("named") | F.col("word").rlike(GATE))
+    run = lambda x: F.regexp_replace(F.regexp_replace(x, HEAD, ""), "^[\"'(]+", "")
+    found = found.withColumn("parts", F.transform(F.regexp_extract_all("word", F.lit(PART), F.lit(0)), lambda x, k: F.struct(x.alias("part"), run(x).alias("run"), k.alias("k"))))
+    plain = lambda x: (F.length(x) >= 12) & (x.rlike("[0-9]") | x.rlike("[a-z][A-Z]"))
+    kept = F.filter("parts", lambda s: (s["run"] != "") & (plain(s["run"]) | ((s["k"] == 0) & F.col("named")) | s["part"].rlike(NAMED)))
+    found = found.withColumn("kept", kept).select("id", "path", "word_no", F.concat_ws(" ", "w2", "w1").alias("before"), "word", "after", F.size("kept").alias("n"), F.explode("kept").alias("r"))
+    return found.select("id", "path", "word_no", "before", F.when(F.col("n") == 1, F.col("word")).otherwise(F.col("r.part")).alias("word"), "after", F.col("r.run").alias("candidate"))
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
-    """The most frequent words of three letters and more, ties in order of the word."""
+    """Words of three letters and more that stand at least twice and make up at least 1 / most of all such words: there can't be more than `most`."""
     words = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+")).alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
     plain = words.select(F.lower(F.regexp_extract("raw", r"^\P{L}*(\p{L}{3,})\P{L}*$", 1)).alias("run"), "n").where("run <> ''")
-    return plain.groupBy("run").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "run").limit(most).select("run")
+    counts = stored(plain.groupBy("run").agg(F.sum("n").alias("n")), "word-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") >= max(2, total / most)).select("run")
 
 
 def _share(pattern: str) -> Column:
@@ -98,6 +95,8 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
         "test_path": F.coalesce(F.col("path").rlike(PATHS), F.lit(False)),
         "at": F.col("candidate").contains("@"),
         "dots": F.regexp_count("candidate", F.lit("[.]")),
+        "after_name": F.col("after").rlike(NAMES),
+        "after_link": F.col("after").rlike("^(=|:|->|=>|[|&])"),
     }
     out = found.join(covered, "candidate").withColumns({k: v.cast("double") for k, v in own.items()})
     return out.withColumn("covered", F.coalesce("covered", F.lit(0.0)))
@@ -151,14 +150,15 @@ def compiled(trees: list) -> Column:
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", fit_findings: int = FIT_FINDINGS) -> DataFrame:
     """(id, word_no, candidate, score, secret) for every candidate; findings: labelled findings (candidate, is_secret), nulls left out."""
-    rows = stored(featured(candidates(docs, id_col, text_col, path_col), stored(dictionary(docs, text_col), "dictionary")), "candidates")
+    found = stored(candidates(docs, id_col, text_col, path_col), "found")  # texts are searched once, though candidates are used twice
+    rows = stored(featured(found, stored(dictionary(docs, text_col), "dictionary")), "candidates")
     if findings is None:
         known = rows.withColumn("y", format_label())
     else:
         one = findings.where("candidate is not null and is_secret is not null").groupBy("candidate").agg(F.max(F.col("is_secret").cast("int")).alias("y"))
         known = rows.join(one, "candidate")
     chosen = known.where("y is not null").select("y", *FEATURES, F.xxhash64("candidate", "word_no", "before").alias("h"))
-    got = [r for y in (0, 1) for r in chosen.where(F.col("y") == y).orderBy("h", *FEATURES).limit(fit_findings).collect()]
+    got = [r for y in (0, 1) for r in least_hashed(chosen.where(F.col("y") == y), "h", fit_findings, list(FEATURES)).orderBy("h", *FEATURES).collect()]
     trees = forest([([r[f] for f in FEATURES], r["y"]) for r in got])
     return rows.select(F.col("id").alias(id_col), "word_no", "candidate", compiled(trees).alias("score")).withColumn("secret", F.col("score") >= 0.5)
 

@@ -23,3 +23,30 @@ def test_all_runs_of_a_word_are_candidates(spark):
         2: sorted(["correcthorsebattery", "tiny", "short"]),
         3: ["QWxhZGRpbjpvcGVuIHNlc2FtZTEyMw=="],
     }
+
+
+def test_recall_of_planted_secrets(spark):
+    """Secrets in configuration lines, JSON without spaces, query strings and prose, among ids, links, numbers, addresses and long words."""
+    import random
+
+    r = random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: "".join(r.choices(letters, k=n))
+    hexed = lambda n: "".join(r.choices("0123456789abcdef", k=n))
+    key = lambda: "AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=15)) + "7"
+    plants = [
+        lambda s: f"api_key = {s}", lambda s: f'{{"id":"{word(9)}","secret":"{s}","n":{r.randint(1, 99)}}}', lambda s: f"http://x.org/?a={word(4)}&token={s}", lambda s: f"password={s}", lambda s: f"auth_token: {s}",
+        lambda s: f"{s}",
+    ]
+    rows, want = [], set()
+    for k in range(240):
+        kind = k % 6
+        secret = key() if kind == 5 or k % 4 == 0 else hexed(40) if k % 4 == 1 else hexed(8) + word(8) + "9"
+        noise = [f"{word(r.randint(2, 9))}" for _ in range(30)] + [f"{word(6)}.{r.randint(1, 99)}@{word(5)}.example", f"https://{word(6)}.org/{word(5)}/{r.randint(1, 10**6)}", f"{r.randint(10**13, 10**15)}", f"2024-0{r.randint(1, 9)}-11T10:00:00", word(18)]
+        r.shuffle(noise)
+        rows.append((k, " ".join([*noise[:15], plants[kind](secret), *noise[15:]]), "s"))
+        want.add((k, secret))
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).where("secret").collect()
+    found = {(x["doc_id"], x["candidate"]) for x in got}
+    assert len(found & want) >= 0.9 * len(want)
+    assert len(found & want) >= 0.9 * len(found)
