@@ -38,6 +38,8 @@ MAGIC = b"TRS1"
 BATCH_BYTES = 24_000_000
 #: Words that are handed to the library as one text.
 TOGETHER = 20
+#: Pieces, and bytes of whole texts, that are encoded or looked up at once: the library's encodings take a hundred times the ids' memory.
+GROUP, GROUP_BYTES = 20_000, 1_000_000
 #: A text of which every run of white space is one space or line break between two other characters is cut there; its
 #: pieces are tokenized on their own just as in the whole text. All white space but these two makes a text odd.
 _ODD = r"[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\A[ \n]|[ \n]\z|[ \n][ \n]"
@@ -61,22 +63,28 @@ class Ids:
         found = [e.ids for e in self.of.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter((i for ids in found for i in ids), np.uint32, sum(map(len, found)))
 
-    def pieces(self, names: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(self, names: pa.StringArray, alone: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces one after another, and where each piece's ids end."""
-        first = pc.starts_with(names, _FIRST).to_numpy(zero_copy_only=False)
-        order = np.concatenate([np.flatnonzero(~first), np.flatnonzero(first)])
-        rest = int((~first).sum())
-        words = names.take(pa.array(order)).to_pylist()
+        words = names.to_pylist()
         # a piece starts with its line break, or with the space that split it off; the first pieces of texts stand alone
-        runs = [w if w[:1] == "\n" else " " + w for w in words[:rest]]
-        alone = [w[1:] for w in words[rest:]]
-        ids = self._encoded(["".join(runs[k : k + TOGETHER]) for k in range(0, rest, TOGETHER)] + alone)
-        size = np.fromiter((len(w.encode()) for w in runs + alone), np.int64, len(words))
-        ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(size), "right")
-        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        return ids, np.stack([begins[back], ends[back]])
+        words = [w[1:] for w in words] if alone else [w if w[:1] == "\n" else " " + w for w in words]
+        ids = self._encoded(words if alone else ["".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)])
+        size = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
+        return ids, np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(size), "right")
+
+    def pieces(self, names: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another, and where each piece's ids begin and end."""
+        first = pc.starts_with(names, _FIRST).to_numpy(zero_copy_only=False)
+        spans, all_ids, done = np.zeros((2, len(names)), np.int64), [np.zeros(0, np.uint32)], 0
+        for alone in (False, True):
+            own = np.flatnonzero(first == alone)
+            for s in range(0, len(own), GROUP):
+                at = own[s : s + GROUP]
+                ids, ends = self._pieces(names.take(pa.array(at)), alone)
+                spans[0, at], spans[1, at] = done + np.append(0, ends[:-1]), done + ends
+                all_ids.append(ids)
+                done += len(ids)
+        return np.concatenate(all_ids), spans
 
     def texts(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of each text's; null is empty."""
@@ -85,28 +93,47 @@ class Ids:
         whole = np.flatnonzero(odd)
         plain = np.flatnonzero(~odd & (pc.binary_length(texts).to_numpy() > 0))
         n = np.zeros(len(texts), np.int64)
-        ids, spans = np.zeros(0, np.uint32), np.zeros((2, 0), np.int64)
-        codes = texts_of = np.zeros(0, np.int64)
+        ids, spans, codes = np.zeros(0, np.uint32), np.zeros((2, 0), np.int64), np.zeros(0, np.int32)
+        count = np.zeros(len(texts), np.int64)  # pieces of each plain text
         if len(plain):
             marked = pc.binary_join_element_wise(_FIRST, texts.take(pa.array(plain)), "")
             parts = pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
+            count[plain] = np.diff(parts.offsets.to_numpy())
             coded = parts.flatten().dictionary_encode()
-            ids, spans = self.pieces(coded.dictionary)
-            codes = coded.indices.to_numpy().astype(np.int64)
-            texts_of = np.repeat(plain, np.diff(parts.offsets.to_numpy()))
-        if len(whole):
-            found = [np.array(e.ids, np.uint32) for e in self.of.encode_batch_fast(texts.take(pa.array(whole)).to_pylist(), add_special_tokens=False)]
-            ends = len(ids) + np.cumsum([len(x) for x in found])
-            codes = np.concatenate([codes, spans.shape[1] + np.arange(len(whole))])
-            texts_of = np.concatenate([texts_of, whole])
-            spans = np.concatenate([spans, np.stack([ends - [len(x) for x in found], ends])], axis=1)
-            ids = np.concatenate([ids, *found])
-            order = np.argsort(texts_of, kind="stable")
-            codes, texts_of = codes[order], texts_of[order]
-        size = (spans[1] - spans[0])[codes]
-        np.add.at(n, texts_of, size)
-        before = np.cumsum(size) - size
-        return ids[np.repeat(spans[0][codes] - before, size) + np.arange(size.sum())], n
+            del marked, parts
+            codes, names = coded.indices.to_numpy().astype(np.int32), coded.dictionary
+            del coded
+            ids, spans = self.pieces(names)
+        found: dict[int, np.ndarray] = {}
+        long = pc.binary_length(texts).to_numpy()[whole]
+        for part in np.split(whole, np.flatnonzero(np.diff(np.cumsum(long) // GROUP_BYTES)) + 1):
+            if len(part):
+                encoded = self.of.encode_batch_fast(texts.take(pa.array(part)).to_pylist(), add_special_tokens=False)
+                found.update((k, np.array(e.ids, np.uint32)) for k, e in zip(part.tolist(), encoded, strict=True))
+                del encoded
+        n[whole] = [len(found[k]) for k in whole.tolist()]
+        size = (spans[1] - spans[0]).astype(np.int32)
+        ends = np.cumsum(count)
+        made = [np.zeros(0, np.uint32)]
+        # texts in runs of about GROUP pieces, so that what stands beside the ids stays small
+        for run in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends // GROUP)) + 1):
+            if not len(run):
+                continue
+            own = codes[ends[run[0]] - count[run[0]] : ends[run[-1]]]
+            length = size[own].astype(np.int64)
+            before = np.cumsum(length) - length
+            flat = ids[np.repeat(spans[0][own] - before, length) + np.arange(length.sum())]
+            until = np.append(before, len(flat))[ends[run] - (ends[run[0]] - count[run[0]])]
+            begin = np.append(0, until[:-1])
+            odd_here = run[odd[run]]
+            n[run[~odd[run]]] = (until - begin)[~odd[run]]
+            at = 0
+            for k in odd_here.tolist():
+                to = until[k - run[0]]
+                made += [flat[at:to], found.pop(k)]
+                at = to
+            made.append(flat[at:])
+        return np.concatenate(made), n
 
 
 def _binary(ids: np.ndarray, n: np.ndarray) -> pa.Array:
