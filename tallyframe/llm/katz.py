@@ -104,15 +104,18 @@ class Batch:
 
 def _batches(source: Iterator[pa.RecordBatch]) -> Iterator[Batch]:
     held, size = [], 0
-    for b in source:
-        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            held.append(r)
-            size += len(r[1])
-            if size >= BATCH_CHARS or len(held) >= BATCH_ROWS:
-                yield Batch(held)
-                held, size = [], 0
+    for whole in source:
+        for b in (whole.slice(k, 1000) for k in range(0, whole.num_rows, 1000)):
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append(r)
+                size += len(r[1])
+                if size >= BATCH_CHARS or len(held) >= BATCH_ROWS:
+                    full, held, size = Batch(held), [], 0  # rows go before the batch is worked on
+                    yield full
+                    del full
     if held:
-        yield Batch(held)
+        full, held = Batch(held), []
+        yield full
 
 
 def _words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,21 +192,20 @@ def _pairs(shared, buckets: int) -> Callable:
             light = np.flatnonzero(~both)
             words, texts = len(b.words) + 1, len(b.n)
             del h1, h2, both
-            key = ((b.token[light].astype(np.int64) * words + b.context[light] + 1) * texts) + b.text[light]
-            key, n = np.unique(key, return_counts=True)
-            text, pair = (key % texts).astype(np.uint16), key // texts
-            c2, c1 = pair // words, pair % words - 1
-            w2, w1 = b.words[c2], np.where(c1 < 0, model.start, b.words[c1]) & CONTEXT
-            del key, c1
-            bucket = np.where(place[c2] < 0, w2, w1) % buckets
-            order = np.argsort(bucket, kind="stable")
-            for part in np.split(order, np.cumsum(np.bincount(bucket, minlength=buckets))[:-1]):
+            of2, of1 = b.words % buckets, (np.append(b.words, model.start) & CONTEXT) % buckets  # the context -1 is the last entry
+            bucket = np.where(place[b.token[light]] < 0, of2[b.token[light]], of1[b.context[light]]).astype(np.uint16 if buckets <= 1 << 16 else np.int32)
+            light, ends = light[np.argsort(bucket, kind="stable")], np.cumsum(np.bincount(bucket, minlength=buckets))
+            for own, part in enumerate(np.split(light, ends[:-1])):
                 if len(part):
-                    new = np.flatnonzero(np.diff(pair[part], prepend=-1))
-                    a2, a1 = w2[part][new], w1[part][new]
-                    run2 = np.flatnonzero(np.diff(c2[part][new], prepend=-1))
-                    blob = pack(a2[run2], np.diff(run2, append=len(a2)).astype(np.uint32), a1, np.diff(new, append=len(part)).astype(np.uint32), text[part], n[part].astype(np.uint32), b.copies.astype(np.uint32))
-                    yield _rows(("o", int(bucket[part[0]]), b.key, blob))
+                    key = (b.token[part].astype(np.int64) * words + b.context[part] + 1) * texts + b.text[part]
+                    key, n = np.unique(key, return_counts=True)
+                    text, pair = (key % texts).astype(np.uint16), key // texts
+                    new = np.flatnonzero(np.diff(pair, prepend=-1))
+                    c2, c1 = pair[new] // words, pair[new] % words - 1
+                    run2 = np.flatnonzero(np.diff(c2, prepend=-1))
+                    a1 = np.where(c1 < 0, model.start, b.words[c1]) & CONTEXT
+                    blob = pack(b.words[c2[run2]], np.diff(run2, append=len(c2)).astype(np.uint32), a1, np.diff(new, append=len(key)).astype(np.uint32), text, n.astype(np.uint32), b.copies.astype(np.uint32))
+                    yield _rows(("o", own, b.key, blob))
 
     return run
 
@@ -222,40 +224,52 @@ def _met(shared, buckets: int) -> Callable:
         if bucket < 0:
             pair, back = np.unique(np.concatenate([x[0] for x in blobs]), return_inverse=True)
             return pa.Table.from_batches([_rows(("h", bucket, 0, pack(pair, np.bincount(back, np.concatenate([x[1] for x in blobs])).astype(np.int64))))])
+        del raw
         w2 = np.concatenate([np.repeat(x[0], x[1]) for x in blobs])
         w1 = np.concatenate([x[2] for x in blobs])
         spans = np.concatenate([x[3] for x in blobs])
-        n = np.concatenate([x[5] for x in blobs]).astype(np.int64)
-        copies = np.concatenate([x[6][x[4]].astype(np.int64) * times[k] for x, k in zip(blobs, keys, strict=True)])
-        batch = np.repeat(np.arange(len(blobs)), [len(x[4]) for x in blobs])
-        text = np.concatenate([x[4] for x in blobs]).astype(np.int64)
+        n = np.concatenate([x[5] for x in blobs])
+        trained = np.concatenate([x[5] * (x[6][x[4]].astype(np.float64) * times[k]) for x, k in zip(blobs, keys, strict=True)])
+        text = np.concatenate([x[4] for x in blobs])
+        rows_at = np.cumsum([0, *(len(x[4]) for x in blobs)])
+        del blobs
         order = np.lexsort((w1, w2))
-        new2 = np.diff(w2[order], prepend=w2[order[:1]] + 1) != 0
-        new = new2 | (np.diff(w1[order], prepend=w1[order[:1]] + 1) != 0)
-        pair, word = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        pair[order], word[order] = np.cumsum(new) - 1, np.cumsum(new2) - 1
-        p1, p2 = w1[order][new], w2[order][new]
-        u2 = w2[order][new2]
-        pair, word = np.repeat(pair, spans), np.repeat(word, spans)
-        seen = np.bincount(pair, n * copies, len(p1)).astype(np.int64)
-        own = np.bincount(word, n * copies, len(u2)).astype(np.int64)
+        w2, w1 = w2[order], w1[order]
+        new2 = np.diff(w2, prepend=w2[:1] + 1) != 0
+        new = new2 | (np.diff(w1, prepend=w1[:1] + 1) != 0)
+        pair = np.empty(len(order), np.int32)
+        pair[order] = np.cumsum(new) - 1
+        p1, p2, u2 = w1[new], w2[new], w2[new2]
+        word = (np.cumsum(new2) - 1)[new]  # of each pair
+        del w1, w2, order, new, new2
+        pair = np.repeat(pair, spans)
+        del spans
+        # what is as long as all occurrences is kept in few bytes; logarithms are taken once a pair
+        seen = np.bincount(pair, trained, len(p1)).astype(np.int64)
+        del trained
+        own = np.bincount(word, seen, len(u2)).astype(np.int64)
         heavy = model.index(u2)
         own = np.where(heavy < 0, own, model.count[heavy])  # a heavy word's count is not in one bucket
         light = (heavy < 0)[word]
-        c, c2 = seen[pair], own[word]
+        c2 = own[word]
         chance = model.chance(own)
         out.append(("r", bucket, 0, pack(np.bincount(np.minimum(seen, KATZ + 2), minlength=KATZ + 3)[1 : KATZ + 2].astype(np.int64))))
-        doc, back = np.unique(batch * 65536 + text, return_inverse=True)
-        total = lambda x: np.bincount(back, x, len(doc))
-        hist = [total(np.where(c == r, n, 0)).astype(np.uint32) for r in range(1, KATZ + 1)] + [total(np.where(c > KATZ, n, 0)).astype(np.uint32)]
-        known = np.where(light & (c2 > 0), n, 0)
-        katz = total(n * np.log10(np.maximum(c, 1))) - total(known * np.log10(np.maximum(c2, 1))) + total(np.where(c == 0, n * np.log10(chance)[word], 0.0))
-        base = total(np.where(light, n * model.base(c2), 0.0))
+        back, docs, ends = np.empty(len(text), np.int32), [], [0]
+        for a, z in zip(rows_at[:-1], rows_at[1:], strict=True):
+            own_texts, at = np.unique(text[a:z], return_inverse=True)
+            back[a:z] = at + ends[-1]
+            docs.append(own_texts)
+            ends.append(ends[-1] + len(own_texts))
+        total = lambda x: np.bincount(back, n * x[pair], ends[-1])
+        hist = [total(seen == r).astype(np.uint32) for r in range(1, KATZ + 1)] + [total(seen > KATZ).astype(np.uint32)]
+        known = light & (c2 > 0)
+        katz = total(np.log10(np.maximum(seen, 1))) - total(np.where(known, np.log10(np.maximum(c2, 1)), 0.0)) + total(np.where(seen == 0, np.log10(chance)[word], 0.0))
+        base = total(np.where(light, model.base(c2), 0.0))
         known = total(known).astype(np.uint32)
-        ends = np.searchsorted(doc, np.arange(len(blobs) + 1) * 65536)
         for i, key in enumerate(keys):
             s = slice(ends[i], ends[i + 1])
-            out.append(("d", bucket, key, pack((doc[s] % 65536).astype(np.uint16), *[h[s] for h in hist], fixed(katz[s]), fixed(base[s]), known[s])))
+            out.append(("d", bucket, key, pack(docs[i], *[h[s] for h in hist], fixed(katz[s]), fixed(base[s]), known[s])))
+        del back
         at = np.flatnonzero(seen)
         runs = np.flatnonzero(np.diff(np.searchsorted(u2, p2[at]), prepend=-1))
         out.append(("m", bucket, 0, pack(p2[at][runs], np.diff(runs, append=len(at)).astype(np.uint32), p1[at], seen[at])))
@@ -265,11 +279,10 @@ def _met(shared, buckets: int) -> Callable:
         for k in np.unique(s1 % buckets).tolist():
             m = s1 % buckets == k
             out.append(("c", k, 0, pack(s1[m], *[x[m] for x in sums])))
-        at = np.flatnonzero(c == 0)
-        first = p1[pair[at]]
+        at = np.flatnonzero((seen == 0)[pair])
+        first, cut = p1[pair[at]], np.searchsorted(at, rows_at)
         for i, key in enumerate(keys):
-            own_at = at[(s := np.searchsorted(batch[at], [i, i + 1]))[0] : s[1]]
-            own_first = first[s[0] : s[1]]
+            own_at, own_first = at[cut[i] : cut[i + 1]], first[cut[i] : cut[i + 1]]
             for k in np.unique(own_first % buckets).tolist():
                 m = own_first % buckets == k
                 out.append(("u", k, key, pack(own_first[m], text[own_at][m].astype(np.uint16), n[own_at][m].astype(np.uint32))))

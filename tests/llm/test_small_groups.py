@@ -30,3 +30,22 @@ def test_op6_encodes_a_batch_in_small_groups_and_gives_whole_ids():
     assert n.tolist() == [len(x) for x in want]
     assert ids.tolist() == [i for x in want for i in x]
     assert max(sizes) < 1_100_000 < sum(sizes)
+
+
+def test_op10_counts_a_bucket_in_few_bytes_an_occurrence():
+    import tracemalloc
+
+    from tallyframe.llm import katz
+
+    class Shared:
+        value = katz.Model(200_000, 50_000, [9000, 5000, 3000, 2000, 1000, 800], {katz.word_hash(katz.END): 3000})
+
+    r = random.Random(5)
+    texts = [" ".join(f"w{int(r.paretovariate(0.5)) % 50_000}" for _ in range(100)) for _ in range(3000)]
+    source = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts), pa.array([False] * 3000)], ["id", "text", "held"])
+    rows = pa.Table.from_batches([x for x in katz._pairs(Shared, 1)(iter([source])) if x.column(1)[0].as_py() == 0])
+    tracemalloc.start()
+    katz._met(Shared, 1)(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70 * 300_000, peak / 300_000
