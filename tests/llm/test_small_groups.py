@@ -49,3 +49,17 @@ def test_op10_counts_a_bucket_in_few_bytes_an_occurrence():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 70 * 300_000, peak / 300_000
+
+
+def test_decontamination_splits_two_megabytes_at_once_and_counts_all(monkeypatch):
+    from tallyframe.llm import decontaminate
+
+    class Shared:
+        value = decontaminate.Index([(1, "alpha beta gamma")])
+
+    sizes, coded = [], decontaminate.Coded
+    monkeypatch.setattr(decontaminate, "Coded", lambda texts, names: sizes.append(texts.nbytes) or coded(texts, names))
+    texts = pa.array(["alpha " + "x " * 2000] * 1500)
+    out = next(decontaminate._frequencies(Shared)(iter([pa.RecordBatch.from_arrays([texts], ["text"])])))
+    assert dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist()))[0] == 1500
+    assert max(sizes) < 2_200_000
